@@ -25,7 +25,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     * The grouping keys are the two halves of a 128-bit hash *and* the normalised text, so the aggregation itself
       compares bytes; map-side partial aggregation leaves one row per task of a group of any size.
-    * Rows find their group by the hash alone; only where one hash has two texts (a collision) the text takes part.
+    * Texts whose hashes collide are thus groups of their own; rows find theirs by the hash and the text's SHA-256,
+      so the text is shuffled once. Were two texts to share both, the job would fail rather than merge them.
     * Null text counts as empty, empty texts form a group, repeated rows are members like any other, an empty
       table gives an empty result. Further columns of the input are ignored, whatever their names.
 
@@ -38,20 +39,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = rows.select("doc_id", "_norm", F.xxhash64("_norm").alias("_h1"), F.xxhash64(F.lit(0x5DEECE66D), F.col("_norm")).alias("_h2"), F.sha2("_norm", 256).alias("text_sha256"), rank.alias("_rank"))
 
     by_bytes = keyed.groupBy("_h1", "_h2", "_norm").agg(F.count(F.lit(1)).alias("_n"), F.max("_rank").alias("_best"))
-    by_hash = by_bytes.groupBy("_h1", "_h2").agg(
-        F.count(F.lit(1)).alias("_texts"), F.sum("_n").alias("_n"), F.max("_best").alias("_best"))
-    # rows whose hash is theirs alone stay and need no partner: the side that is joined holds copies only
-    copies = by_hash.where("_n > 1")
+    # each group of equal bytes is known by its hash and its digest from here on; two texts with both alike stop the job
+    named = by_bytes.select("_h1", "_h2", F.sha2("_norm", 256).alias("text_sha256"), "_n", "_best")
+    groups = named.groupBy("_h1", "_h2", "text_sha256").agg(F.sum("_n").alias("_n"), F.max("_best").alias("_best"), F.count(F.lit(1)).alias("_texts"))
+    alone = F.when(F.col("_texts") == 1, F.col("_n")).otherwise(F.raise_error(F.lit("two texts share their 128-bit hash and their SHA-256")))
+    # rows whose text is theirs alone stay and need no partner: the side that is joined holds copies only
+    copies = groups.withColumn("_n", alone).where("_n > 1").drop("_texts")
     light = keyed.select("doc_id", "_h1", "_h2", "text_sha256", "_rank")
-    joined = light.join(copies, ["_h1", "_h2"], "left")
-    plain = joined.where(F.coalesce(F.col("_texts"), F.lit(1)) == 1)
-
-    collided = copies.where("_texts > 1").select("_h1", "_h2")
-    split = keyed.join(collided, ["_h1", "_h2"], "left_semi")
-    within = by_bytes.join(collided, ["_h1", "_h2"], "left_semi").select("_h1", "_h2", "_norm", F.lit(1).cast("long").alias("_texts"), "_n", "_best")
-    apart = split.join(within, ["_h1", "_h2", "_norm"]).select(*joined.columns)
-
-    out = plain.unionByName(apart)
+    out = light.join(copies, ["_h1", "_h2", "text_sha256"], "left")
     # a row alone keeps itself: compared by rank, so the row that stays is the one whose rank is the best
     best = F.coalesce(F.col("_best"), F.col("_rank"))
     place_of = (best % F.lit(_UNIT).cast("decimal(21,0)")).cast("decimal(20,0)")
