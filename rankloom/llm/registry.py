@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: module and query function
 _QUERIES = {
+    "op1_substring_dedup": "op01_substring",
+    "op3_minhash_near_dedup": "op03_minhash",
     "op6_exact_dedup": "op06_exact",
+    "op8_token_shards": "op08_tokens",
+    "op9_warc_segments": "op09_warc",
 }
 
 
