@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import os
 import tempfile
 import uuid
 
@@ -11,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
+_HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Separators: the space and the bytes 0x09 to 0x0D.
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -53,6 +56,19 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs whose results have been read: Spark deletes them once their plans are garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def reachable(spark: SparkSession) -> None:
+    """Python workers find this library where the driver does, if the folder exists there (local runs)."""
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if _HOME not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, _HOME]))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -177,4 +193,5 @@ def binary(parts: list[bytes | memoryview]) -> pa.Array:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
