@@ -29,3 +29,10 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def _load() -> None:
+    from rankloom.plans import evaluation, preparation, retrieval  # noqa: F401
+
+
+_load()
