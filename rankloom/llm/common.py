@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import hashlib
-import os
 import tempfile
 import uuid
 
@@ -12,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from rankloom.session import reachable
+
 U64 = np.uint64
-_HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Separators: the space and the bytes 0x09 to 0x0D.
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -43,6 +43,7 @@ def scratch_root(spark: SparkSession) -> str:
 def save(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there, so a lost executor costs no recomputation of what lies before."""
     spark = df.sparkSession
+    reachable(spark)
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
@@ -62,13 +63,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def reachable(spark: SparkSession) -> None:
-    """Python workers find this library where the driver does, if the folder exists there (local runs)."""
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if _HOME not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, _HOME]))
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
