@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that carry no topic, for comparing queries.
 STOP_WORDS = (
@@ -88,13 +89,13 @@ def tokens(text: Column) -> Column:
 _RUN = re.compile(r"\b[^\W_]{2,}\b")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def folded_tokens(text: pd.Series) -> pd.Series:
     """As ``tokens``, after NFKC and full case folding, which Spark has no function for."""
     return text.map(lambda x: _RUN.findall(re.sub("['’]", "", unicodedata.normalize("NFKC", x or "").casefold())))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(text: pd.Series) -> pd.Series:
     """NFKC, plain quotes and dashes, single spaces, case folded; for matching texts."""
     table = str.maketrans(*TYPOGRAPHY)
@@ -124,7 +125,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def search_text(title: Column, description: Column) -> Column:
     """What a document is indexed by; an error where both parts are empty."""
-    whole = F.trim(F.concat_ws("\n", safe_text(title), safe_text(description)))
+    whole = F.concat_ws("\n", F.nullif(safe_text(title), F.lit("")), F.nullif(safe_text(description), F.lit("")))
     return F.when(whole != "", whole).otherwise(F.raise_error(F.lit("a document has neither title nor description")))
 
 

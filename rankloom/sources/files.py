@@ -81,7 +81,7 @@ def decode_mixed(raw: bytes) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else decode_mixed(bytes(b)))
 
