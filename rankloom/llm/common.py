@@ -9,7 +9,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from rankloom.session import reachable
 
@@ -49,6 +50,13 @@ def save(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def save_counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, str, dict[str, int]]:
+    """``save``, with the number of rows (``rows``) and of those that meet each condition, taken while writing."""
+    seen = Observation()
+    saved, path = save(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in counts.items()]), name)
+    return saved, path, seen.get
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables through the file system that holds them."""
     jvm = spark.sparkContext._jvm
