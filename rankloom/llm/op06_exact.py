@@ -46,7 +46,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # rows whose text is theirs alone stay and need no partner: the side that is joined holds copies only
     copies = groups.withColumn("_n", alone).where("_n > 1").drop("_texts")
     light = keyed.select("doc_id", "_h1", "_h2", "text_sha256", "_rank")
-    out = light.join(copies, ["_h1", "_h2", "text_sha256"], "left")
+    # joined by one number of the keys, which the groups aren't dealt by yet: both sides are dealt for this join alone,
+    # so that the adaptive planner may split the rows of a hot group over many tasks
+    one = F.xxhash64("_h1", "_h2", "text_sha256")
+    out = light.withColumn("_key", one).join(copies.withColumn("_key", one), ["_key", "_h1", "_h2", "text_sha256"], "left")
     # a row alone keeps itself: compared by rank, so the row that stays is the one whose rank is the best
     best = F.coalesce(F.col("_best"), F.col("_rank"))
     place_of = (best % F.lit(_UNIT).cast("decimal(21,0)")).cast("decimal(20,0)")
