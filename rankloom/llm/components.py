@@ -17,27 +17,29 @@ def _jump(hook: DataFrame) -> DataFrame:
 def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) of every node with a link; component is the smallest id that can be reached.
 
-    ``links`` has the columns a and b. Every round each edge hands the smaller of its ends' labels to both ends'
-    *current roots* and then every node jumps to its root's root, so that the rounds grow with the logarithm of the
-    longest path. Minima are aggregated before the shuffle, so a node with very many links costs one row per task.
-    Every round is written to the shared folder. Null ends are ignored.
+    ``links`` has the columns a and b. Every round each edge between two components hooks the greater label onto the
+    least label it touches, and labels jump along two hooks, so that the rounds grow with the logarithm of the longest
+    path. Minima are aggregated before the shuffle, so a node with very many links costs one row per task. A round is
+    one job that writes the labels to the shared folder and counts the changes. Null ends are ignored.
     """
     spark = links.sparkSession
     edges, edges_at = C.save(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    nodes = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-    labels, at = C.save(nodes.select("id", F.col("id").alias("component")), "labels")
+    # every node takes its least neighbour to begin with
+    both = edges.select(F.col("a").alias("id"), F.col("b").alias("to")).union(edges.select(F.col("b").alias("id"), F.col("a").alias("to")))
+    labels, at = C.save(both.groupBy("id").agg(F.least(F.min("to"), F.first("id")).alias("component")), "labels")
     for _ in range(most_rounds):
-        # links between roots: what is within one component already drops out
         left = labels.withColumnsRenamed({"id": "a", "component": "ra"})
         right = labels.withColumnsRenamed({"id": "b", "component": "rb"})
-        roots, roots_at = C.save(edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("lo"), F.greatest("ra", "rb").alias("hi")).distinct(), "roots")
-        if roots.isEmpty():
-            C.drop(spark, roots_at, edges_at)
+        own = labels.where("id <> component").select(F.col("component").alias("lo"), F.col("id").alias("hi"))
+        across = edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("lo"), F.greatest("ra", "rb").alias("hi"))
+        # a label may itself have moved on: its own hook takes part as well
+        hook = across.union(own).groupBy(F.col("hi").alias("component")).agg(F.min("lo").alias("to"))
+        onward = _jump(_jump(hook))
+        moved, moved_at, seen = C.save_counted(
+            labels.join(onward, "component", "left").select("id", F.coalesce("to", "component").alias("component"), "to"), "labels", changed=F.col("to").isNotNull())
+        C.drop(spark, at)
+        labels, at = moved.select("id", "component"), moved_at
+        if not seen["changed"]:
+            C.drop(spark, edges_at)
             return labels
-        hook = roots.groupBy(F.col("hi").alias("component")).agg(F.min("lo").alias("to"))
-        once = _jump(hook)
-        twice = _jump(once)
-        moved, moved_at = C.save(labels.join(twice, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "labels")
-        C.drop(spark, roots_at, at)
-        labels, at = moved, moved_at
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

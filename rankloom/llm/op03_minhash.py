@@ -1,16 +1,20 @@
 """Near-duplicate groups by an inverted join over MinHash signature coordinates.
 
-1. Every text becomes its set of distinct shingles, a 128-bit hash of the set and a signature of ``COORDINATES``
-   minima. Equal sets are one node from here on, however many rows share it.
+1. Every text becomes its set of distinct shingles, a 128-bit hash of the set and a signature. A coordinate of the
+   signature is the hash of ``MINIMA`` minima, so unrelated texts hardly ever share one. Equal sets are one node from
+   here on, however many rows share it.
 2. A frequency sketch of (coordinate, value) pairs orders each node's coordinates from rare to common. Nodes that
    agree on ``MATCHES`` of the coordinates must share one within their first ``COORDINATES - MATCHES + 1`` in any
    common order, so only that prefix is posted, and values seen once are skipped.
-3. Each posting list first meets its hub (the node whose coordinates are the most frequent); a list of any length
-   gives one pair per member. Pairs are kept when their signatures agree on ``MATCHES`` coordinates, and confirmed
-   on the full sets.
-4. The links found join nodes into components. Lists whose members are then all in one component are skipped.
-   The rest go on: members meet the hub of every other component in their list, until a round confirms nothing
-   new; then what is left meets pairwise across components, which is the plain inverted join of rare lists.
+3. Each posting list meets its hub first (the node whose coordinates are the most frequent): one pair for each
+   member, whatever the list's length. Pairs whose signatures agree on ``MATCHES`` coordinates are confirmed on the
+   full sets. Members that aren't even alike to the hub meet the whole list; these lists are short.
+4. What is alike to a hub H but not linked to it can't be skipped: a copy F with many edits may still be near another
+   copy A. But if 100 |F & H| < 80 |F | H|, then F and A can only be linked if their differences from H overlap in
+   more than (9 |A - H| + 9 |H - A| + |H| - |A|) / 18 shingles. So the members of a hub are joined once more by the
+   shingles in which they differ from it: F posts all of them, A a prefix in which what it adds comes before what it
+   lacks. Copies with edits of their own share none of these, so a group of any size makes few pairs of its members.
+   That covers all pairs of a list; lists within one component are skipped throughout.
 """
 
 from __future__ import annotations
@@ -25,9 +29,9 @@ from pyspark.sql import functions as F
 from rankloom.llm import common as C
 from rankloom.llm.components import connected
 
-COORDINATES, MATCHES = 64, 36
+COORDINATES, MINIMA, MATCHES = 64, 3, 13
 #: Slots of the frequency sketch: one byte each when broadcast.
-LOG_SLOTS = 23
+LOG_SLOTS = 24
 _LOG_SLOT_BLOCK = 18
 _BASE = 0xD6E8FEB86659FD93
 _rng = np.random.default_rng(20240229)
@@ -58,13 +62,17 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int) -> list[np.ndarra
 
 
 def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
-    """The least of ``coordinates`` hash functions over a set."""
-    mul, add = _MUL[:coordinates, None], _ADD[:coordinates, None]
+    """The hashes of groups of ``MINIMA`` minima over a set."""
+    n = coordinates * MINIMA
+    mul, add = _MUL[:n, None], _ADD[:n, None]
     best = None
-    for i in range(0, len(shingles), 2048):
-        own = ((shingles[None, i : i + 2048] * mul + add) >> np.uint64(32)).min(axis=1)
+    for i in range(0, len(shingles), 1024):
+        own = (shingles[None, i : i + 1024] * mul + add).min(axis=1)
         best = own if best is None else np.minimum(best, own)
-    return best.astype("<u4")
+    total = np.zeros(coordinates, np.uint64)
+    for part in best.reshape(MINIMA, coordinates):
+        total = C.mix(total * np.uint64(0x9E3779B97F4A7C15) + part)
+    return (total >> np.uint64(32)).astype("<u4")
 
 
 def _sign(size: int, coordinates: int):
@@ -172,24 +180,47 @@ def _agree(coordinates: int, matches: int):
     return run
 
 
+def linked(a: int, b: int, both: int, percent: int) -> bool:
+    """Whether sets of these sizes and this intersection are near enough."""
+    return 100 * both >= percent * (a + b - both)
+
+
 def _confirm(size: int, percent: int):
+    """For each pair (a, hub b): whether they are linked, and the shingles in which a differs from b.
+
+    A linked member gives the prefix of its differences only, an unlinked one all of them, with the prefix's length.
+    """
+
     def run(batches):
+        made: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            left, right = (C.utf8(batch.column(x)) for x in ("text_a", "text_b"))
-            keep = np.zeros(len(batch), bool)
-            last = None
-            for i in range(len(batch)):
-                pair = []
-                for buf, offs in (left, right):
-                    own = buf[offs[i] : offs[i + 1]]
-                    pair.append(own)
-                raw = pair[1].tobytes()
-                if last is None or last[0] != raw:  # partners come sorted, so a hub's set is made once a run
-                    last = (raw, shingle_sets(pair[1], np.array([0, len(pair[1])]), size)[0])
-                a, b = shingle_sets(pair[0], np.array([0, len(pair[0])]), size)[0], last[1]
-                both = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
-                keep[i] = 100 * both >= percent * (len(a) + len(b) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            buf, offs = C.utf8(batch.column("text_a"))
+            sets = []
+            for i, j in C.slices(offs):
+                sets += shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)
+            hub_buf, hub_offs = C.utf8(batch.column("text_b"))
+            links, prefixes, changes, elements = [], [], [], []
+            for i, a in enumerate(sets):
+                raw = hub_buf[hub_offs[i] : hub_offs[i + 1]]
+                name = raw.tobytes()
+                if name not in made:
+                    if len(made) >= 256:
+                        made.clear()
+                    made[name] = shingle_sets(raw, np.array([0, len(raw)]), size)[0]
+                b = made[name]
+                adds, lacks = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
+                ok = linked(len(a), len(b), len(a) - len(adds), percent)
+                change = len(adds) + len(lacks)
+                # J >= p/100 bounds the symmetric difference by (|x| + |y|) (100 - p) / (100 + p)
+                least = ((100 + percent) * change + (100 - percent) * (len(b) - len(a))) // (2 * (100 + percent)) + 1
+                prefix = max(change - max(least, 1) + 1, 0)
+                links.append(ok)
+                prefixes.append(prefix)
+                changes.append(change)
+                elements.append(np.concatenate([adds, lacks])[: prefix if ok else None].view(np.int64))
+            lengths = np.array([len(x) for x in elements], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(np.concatenate(elements) if elements else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(links, pa.bool_()), pa.array(prefixes, pa.int32()), pa.array(changes, pa.int32()), lists], ["a", "b", "linked", "prefix", "change", "elements"])
 
     return run
 
@@ -209,13 +240,13 @@ def _hub_node(code) -> F.Column:
 
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, percent: int = 80,
-    coordinates: int = COORDINATES, matches: int = MATCHES, log_slots: int = LOG_SLOTS, star_rounds: int = 2,
+    coordinates: int = COORDINATES, matches: int = MATCHES, log_slots: int = LOG_SLOTS,
 ) -> DataFrame:
     """Components of near-duplicate texts: one row per input row.
 
     Two texts are linked when 100 x intersection >= ``percent`` x union of their shingle sets. A candidate pair at
-    the threshold is missed with the probability that fewer than ``matches`` of ``coordinates`` minima agree (about
-    one in a million at 36 of 64 and 0.8); links are confirmed on the full sets.
+    the threshold 0.8 is missed with the probability that fewer than 13 of 64 coordinates agree, each with
+    probability 0.8 ** 3 (about one in ten million); links are confirmed on the full sets.
 
     Null and empty texts have no set and are linked with nothing; texts of fewer words than a shingle are one
     shingle; equal sets of any number of rows are linked by their hash; repeated rows get equal rows; an empty table
@@ -225,65 +256,87 @@ def near_groups(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed, signed_at = C.save(texts.mapInArrow(_sign(shingle, coordinates), "doc_id long, n long, s1 long, s2 long, sig binary"), "signatures")
+    signed, _ = C.save(texts.mapInArrow(_sign(shingle, coordinates), "doc_id long, n long, s1 long, s2 long, sig binary"), "signatures")
     known = signed.where("n > 0 AND doc_id IS NOT NULL")
-    nodes, nodes_at = C.save(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"), F.max("sig").alias("sig")), "nodes")
+    nodes, _ = C.save(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"), F.max("sig").alias("sig")), "nodes")
 
     codes = spark.sparkContext.broadcast(frequency_codes(nodes, coordinates, log_slots))
     # sets so small that no other size is near enough can only equal each other
     linkable = nodes.where(F.expr(f"100 * n >= {percent} * (n + 1) OR 100 * (n - 1) >= {percent} * n"))
-    postings, postings_at = C.save(
-        linkable.select("node", "n", "sig").mapInArrow(_post(codes, coordinates, matches, log_slots), "key long, node long, n long, typical long"), "postings")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        """The linked ones among pairs (a, b)."""
-        sig_a = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
-        sig_b = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
-        alike, alike_at = C.save(pairs.join(sig_a, "a").join(sig_b, "b").mapInArrow(_agree(coordinates, matches), "a long, b long").distinct(), "alike")
-        scratch.append(alike_at)
-        used = alike.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        some = texts.join(used, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        some, some_at = C.save(some, "texts")
-        scratch.append(some_at)
-        both = alike.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        found, found_at = C.save(both.mapInArrow(_confirm(shingle, percent), "a long, b long"), "links")
-        scratch.append(found_at)
+    posted = linkable.select("node", "n", "sig").mapInArrow(_post(codes, coordinates, matches, log_slots), "key long, node long, n long, typical long")
+    lists, lists_at = C.save(posted, "postings")
+    several = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    pending, _ = C.save(lists.join(several, "key", "left_semi"), "lists")
+    C.drop(spark, lists_at)
+    # the texts of all nodes that share a posting list: all later pairs are among them
+    held, _ = C.save(texts.join(pending.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    C.release(spark)
+
+    def confirm(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs (a, b) that are near in size and signature, with what ``_confirm`` finds."""
+        side = nodes.select("node", "n", "sig")
+        a, b = (side.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+        near = pairs.join(a, "a").join(b, "b").where(F.expr(f"100 * least(n_a, n_b) >= {percent // 2} * greatest(n_a, n_b)"))
+        alike = near.select("a", "b", "sig_a", "sig_b").mapInArrow(_agree(coordinates, matches), "a long, b long")
+        x, y = (held.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+        found, _, seen = C.save_counted(
+            alike.join(x, "a").join(y, "b").mapInArrow(_confirm(shingle, percent), "a long, b long, linked boolean, prefix int, change int, elements array<long>"), f"confirmed-{name}", linked=F.col("linked"))
+        if seen["linked"]:
+            settle(found)
+        C.release(spark)
         return found
 
-    def near_in_size(x: str, y: str) -> F.Column:
-        return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
-
-    scratch = [postings_at]
-    lists = postings.groupBy("key").agg(_hub().alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = postings.join(lists.select("key", _hub_node(F.col("hub")).alias("b")), "key").where("node <> b").select(F.col("node").alias("a"), "b", "n").distinct()
-    sized = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
-    links = confirm(met.join(sized, "b").where(near_in_size("n", "n_b")).select("a", "b"))
-    component, at = C.save(connected(links), "components")
-    scratch.append(at)
-
-    for round_ in range(star_rounds + 1):
-        lab = postings.join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_keys = lab.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        left, left_at = C.save(lab.join(open_keys, "key", "left_semi"), "open")
-        scratch.append(left_at)
-        if round_ < star_rounds:
-            # hubs of the components of a list; only lists that a component of several nodes takes part in
-            hubs = left.groupBy("key", "component").agg(_hub().alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", F.col("component").alias("other"), _hub_node(F.col("hub")).alias("b"))
-            pairs = left.join(hubs, "key").where("component <> other")
-        else:
-            y = left.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("other"))
-            pairs = left.join(y, "key").where(F.expr("component <> other AND node < b") & near_in_size("n", "n_b"))
-        more = confirm(pairs.select(F.col("node").alias("a"), "b").distinct())
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
-        component, at = C.save(connected(links), "components")
-        scratch.append(at)
-
-    group = nodes.select("s1", "s2", F.col("n"), "node").join(component.withColumnRenamed("id", "node"), "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("_component"))
-    out = signed.select("doc_id", "n", "s1", "s2").join(group, ["s1", "s2", "n"], "left")
+    component = spark.createDataFrame([], "id long, component long")
+
+    def settle(found: DataFrame) -> None:
+        """Joins components by new links, which are links between component ids from here on."""
+        nonlocal component
+        lab = component.withColumnsRenamed({"id": "_i", "component": "_c"})
+        fresh = found.where("linked").select("a", "b")
+        for x in "ab":
+            fresh = fresh.join(lab.withColumnRenamed("_i", x), x, "left").withColumn(x, F.coalesce("_c", x)).drop("_c")
+        merged = connected(fresh)
+        moved = component.join(merged.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+        added = merged.join(component.select("id"), "id", "left_anti")
+        component, _ = C.save(moved.unionByName(added), "components")
+
+    def open_lists(rows: DataFrame) -> DataFrame:
+        """Members with their component, of lists that several components share."""
+        lab = rows.join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        kept = lab.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("key")
+        return lab.join(kept, "key", "left_semi")
+
+    def meet(rows: DataFrame, others: DataFrame) -> DataFrame:
+        """Distinct pairs across components within lists."""
+        y = others.select("key", F.col("node").alias("_o"), F.col("n").alias("_m"), F.col("component").alias("_c"))
+        met = rows.join(y, "key").where(F.expr(f"component <> _c AND 100 * least(n, _m) >= {percent} * greatest(n, _m)"))
+        return met.select(F.least("node", "_o").alias("a"), F.greatest("node", "_o").alias("b")).distinct()
+
+    hubs, _ = C.save(pending.groupBy("key").agg(_hub().alias("hub")).select("key", _hub_node(F.col("hub")).alias("b")), "hubs")
+    starred = pending.join(hubs, "key").where("node <> b")
+    found = confirm(starred.select(F.col("node").alias("a"), "b").distinct(), "hub")
+
+    far, _, seen = C.save_counted(starred.join(found.select(F.col("a").alias("node"), "b"), ["node", "b"], "left_anti").select("key", "node"), "far")
+    if seen["rows"]:
+        rows = open_lists(pending.join(far.select("key").distinct(), "key", "left_semi"))
+        confirm(meet(rows.join(far, ["key", "node"], "left_semi"), rows), "far")
+
+    # differences from the hub: all of an unlinked member (left), the prefix of any member (right)
+    lab = component.withColumnsRenamed({"id": "a", "component": "_c"})
+    sized = found.join(nodes.select(F.col("node").alias("a"), "n"), "a").join(lab, "a", "left").withColumns({"_c": F.coalesce("_c", "a")})
+    left, right = sized.where("NOT linked").select("b", F.col("a").alias("node"), "n", "_c", "change", F.explode("elements").alias("e")), sized.select(
+        "b", F.col("a").alias("_o"), F.col("n").alias("_m"), F.col("_c").alias("_d"), F.col("change").alias("_change"), F.explode(F.expr("slice(elements, 1, prefix)")).alias("e"))
+    # an overlap is at most the smaller difference, so linked pairs differ from the hub by numbers that are close
+    close = F.expr(f"{100 + percent} * abs(change - _change) <= {100 - percent} * (n + _m)")
+    near = left.join(right, ["b", "e"]).where(F.expr(f"node <> _o AND _c <> _d AND 100 * least(n, _m) >= {percent} * greatest(n, _m)") & close)
+    confirm(near.select(F.least("node", "_o").alias("a"), F.greatest("node", "_o").alias("b")).distinct(), "differences")
+
+    group = nodes.select("s1", "s2", "n", "node").join(component.withColumnRenamed("id", "node"), "node", "left").select("s1", "s2", F.col("n").alias("_n"), F.coalesce("component", "node").alias("_component"))
+    # joined by one number of the keys, which nothing is dealt by: the adaptive planner may split a hot group's rows
+    left = signed.select("doc_id", "n", "s1", "s2").withColumn("_key", F.xxhash64("s1", "s2", "n"))
+    right = group.select(F.xxhash64("s1", "s2", "_n").alias("_key"), "s1", "s2", F.col("_n").alias("n"), "_component")
+    out = left.join(right, ["_key", "s1", "s2", "n"], "left")
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
-    C.drop(spark, *scratch[:1])
     return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
 
 
