@@ -39,7 +39,8 @@ def bootstrap_ci(values: DataFrame, metrics: list[str], key: str = "query_id", r
     else:
         slots = spark.range(replicates).withColumnRenamed("id", "rep").join(F.broadcast(n)).select("rep", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
         draws = slots.select("rep", hash_draw(seed, F.col("rep"), F.col("slot"), F.col("n")).cast("long").alias("idx"))
-    means = draws.join(numbered, "idx").groupBy("rep").agg(*[F.avg(m).alias(m) for m in metrics])
+    # replicates x queries draws: the values (one row for each query) go to the draws, which stay where they are made
+    means = draws.join(F.broadcast(numbered), "idx").groupBy("rep").agg(*[F.avg(m).alias(m) for m in metrics])
     long = means.unpivot(["rep"], [F.col(m).cast("double").alias(m) for m in metrics], "metric", "value")
     ci = long.groupBy("metric").agg(F.stddev_samp("value").alias("se"), F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"))
     actual = values.agg(*[F.avg(m).cast("double").alias(m) for m in metrics]).unpivot([], [F.col(m) for m in metrics], "metric", "mean")

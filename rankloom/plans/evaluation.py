@@ -140,6 +140,22 @@ def paired_delta(spark, sf):
     return B.rounded(S.paired_bootstrap(_brands(spark, sf, "a"), _brands(spark, sf, "b"), _BOOT, replicates=400), "mean", "se", "lo", "hi")
 
 
+# the same over the queries themselves with all replicates, the reference's job; the two above keep the brands of their SQL
+
+
+@register("bootstrap_ci_queries", _bootstrap_sql(_summary_sql("a"), S.REPLICATES))
+def bootstrap_ci_queries(spark, sf):
+    return B.rounded(S.bootstrap_ci(_summary(spark, sf, "a"), _BOOT), "mean", "se", "lo", "hi")
+
+
+_QUERY_DELTA_SQL = f"(SELECT query_id, {', '.join(f'b.{m} - a.{m} AS {m}' for m in _BOOT)} FROM {_summary_sql('a')} a JOIN {_summary_sql('b')} b USING (query_id))"
+
+
+@register("paired_delta_queries", _bootstrap_sql(_QUERY_DELTA_SQL, S.REPLICATES))
+def paired_delta_queries(spark, sf):
+    return B.rounded(S.paired_bootstrap(_summary(spark, sf, "a"), _summary(spark, sf, "b"), _BOOT), "mean", "se", "lo", "hi")
+
+
 _WTL = ["mean_score", "irrelevant_rate"]
 
 
