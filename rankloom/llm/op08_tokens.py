@@ -38,10 +38,11 @@ class PieceEncoder:
 
     The tokenizer lower-cases, drops white space and splits letters from other signs, so a text's ids are those of
     its pieces in order when it is cut at ASCII white space, or between an ASCII letter and ASCII punctuation other
-    than the apostrophe. A tokenizer of another kind is detected on construction and then gets whole texts.
+    than the apostrophe. Pieces keep their case, as added tokens match the raw text. A tokenizer of another kind is
+    detected on construction and then gets whole texts.
     """
 
-    _PROBES = ("One two,three. (four)  don't we'll\tX1y2\n\"q\"--z...", "<|x|> a_b é,à «ö» ﬁ İ Å, ñ", "", " ", " a b ,c.́")
+    _PROBES = ("One two,three. (four)  don't we'll\tX1y2\n\"q\"--z...", "<|x|> a_b é,à «ö» ﬁ İ Å, ñ", "<|endoftext|> <|ENDOFTEXT|>a <|EndOfText|> One ONE", "", " ", " a b ,c.́")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -78,7 +79,6 @@ class PieceEncoder:
     def _by_piece(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(buf):
             return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
-        buf = C.LOWER[buf]
         cut = np.zeros(len(buf) + 1, bool)
         letter, sign = self._LETTER[buf], self._SIGN[buf]
         cut[1:-1] = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])

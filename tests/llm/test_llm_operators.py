@@ -429,3 +429,12 @@ def test_containment_brute_force(spark):
     assert {r.doc_id for r in O10.drop_contaminated(d, b).collect()} == {i for i, _ in docs} - hit
     assert O10.contaminated(d, b.where("false")).count() == 0 and O10.contaminated(odd(spark, []), b).count() == 0
     assert O10.drop_contaminated(odd(spark), b).columns == odd(spark).columns
+
+
+def test_tokens_added_tokens_keep_case(spark):
+    texts = ["<|ENDOFTEXT|>", "<|EndOfText|> a", "<|endoftext|>", "One<|ENDOFTEXT|>,two", "<|StartOfText|>x <|startoftext|>", "Plain PLAIN plain"]
+    raw = "".join(texts).encode()
+    ids, counts = O8.PieceEncoder(WORDS).encode(np.frombuffer(raw, np.uint8), np.append(0, np.cumsum([len(t.encode()) for t in texts])))
+    wanted = [_coder.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in wanted]
+    assert ids.tolist() == [i for w in wanted for i in w]
