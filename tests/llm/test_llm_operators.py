@@ -438,3 +438,12 @@ def test_tokens_added_tokens_keep_case(spark):
     wanted = [_coder.library.encode(t, add_special_tokens=False).ids for t in texts]
     assert counts.tolist() == [len(w) for w in wanted]
     assert ids.tolist() == [i for w in wanted for i in w]
+
+
+def test_quality_lines_counted_whole():
+    same = "x" * 64
+    texts = [f"{same} one\n{same} two\n{same} six\n", f"{same} one\n{same} one\n{same} six\n", "".join(f"{same * 20}{i}\n" for i in range(5))]
+    buf, offs = C.utf8(pa.array(texts, pa.string()))
+    x = O2.features(buf, offs)
+    distinct = x[:, O2.FEATURES.index("distinct_lines")] * (np.array([t.count("\n") for t in texts]) + 1)
+    assert distinct.tolist() == pytest.approx([3, 2, 5])
