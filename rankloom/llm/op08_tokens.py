@@ -5,13 +5,15 @@ id pairs by nonterminals, round by round, and stores the rules with the expansio
 that any document is decoded without its neighbours. A shard is one row (a file of the format below) of a Parquet
 table in the shared folder, whose commit makes the write safe against lost executors.
 
-Format, little-endian: magic ``RLTK0001``; six uint64 (documents, symbols, rules, ids, ids before it in its part,
-bytes of a symbol); doc_id int64[documents]; has_id uint8[documents]; first symbol uint64[documents]; number of ids
-uint64[documents]; rules uint32[rules][2]; expansion lengths uint32[rules]; symbols.
+Format, little-endian: magic ``RLTK0002``; first nonterminal uint64; six uint64 (documents, symbols, rules, ids, ids before it in its part,
+bits of a symbol, 16 at least); doc_id int64[documents]; has_id uint8[documents]; first symbol uint64[documents]; number of ids
+uint64[documents]; rules uint32[rules][2]; expansion lengths uint32[rules]; low halves uint16[symbols]; for
+each bit from the 17th on, its values packed by eight.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -24,9 +26,9 @@ from pyspark.sql import functions as F
 from rankloom.llm import common as C
 
 END_ID = 1
-MAGIC = b"RLTK0001"
-#: Ids of a shard; rounds of replacement and the most pairs replaced in one.
-SHARD_IDS, ROUNDS, PAIRS = 3_000_000, 3, 4000
+MAGIC = b"RLTK0002"
+#: Ids of a shard; the most pairs replaced in a round.
+SHARD_IDS, PAIRS = 3_000_000, 4000
 #: Distinct pieces of text whose ids a worker remembers.
 CACHE_WORDS = 1_500_000
 
@@ -154,14 +156,14 @@ def encoder(path: str) -> PieceEncoder:
 # ---------------------------------------------------------------- grammar
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first_free: int, end_id: int = END_ID, rounds: int = ROUNDS, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, first_free: int, end_id: int = END_ID, rounds: int | None = None, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair in batches: symbols, rules, expansion lengths, and the places of ``ends`` among the symbols.
 
-    A round replaces its most frequent pairs left to right, without overlap. ``end_id`` is in no pair, so no rule
-    crosses documents.
+    A round replaces its most frequent pairs left to right, without overlap. Rounds go on (at most ``rounds`` if given)
+    until no pair occurs eight times. ``end_id`` is in no pair, so no rule crosses documents.
     """
     symbols, rules, lengths = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], np.ones(first_free, np.uint32)
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(symbols) < 2:
             break
         a, b = symbols[:-1], symbols[1:]
@@ -209,12 +211,13 @@ def pack(doc_ids: list, ids: np.ndarray, counts: np.ndarray, before: int, first_
     """One shard: ``counts`` ids of each document, the end id included."""
     ends = np.cumsum(counts) - 1
     symbols, rules, lengths, at = compress(ids, ends, first_free)
-    width = 2 if first_free + len(rules) <= 1 << 16 else 4
+    width = max(16, (first_free + len(rules) - 1).bit_length())
+    planes = [np.packbits((symbols >> np.uint32(k) & np.uint32(1)).astype(np.uint8)) for k in range(16, width)]
     head = np.array([len(doc_ids), len(symbols), len(rules), len(ids), before, width], "<u8")
     starts = np.append(0, at[:-1] + 1)
     known = np.array([x is not None for x in doc_ids], np.uint8)
     own = np.array([x or 0 for x in doc_ids], "<i8")
-    return b"".join([MAGIC, np.uint64(first_free).tobytes(), head.tobytes(), own.tobytes(), known.tobytes(), starts.astype("<u8").tobytes(), counts.astype("<u8").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype(f"<u{width}").tobytes()])
+    return b"".join([MAGIC, np.uint64(first_free).tobytes(), head.tobytes(), own.tobytes(), known.tobytes(), starts.astype("<u8").tobytes(), counts.astype("<u8").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype("<u2").tobytes(), *(x.tobytes() for x in planes)])
 
 
 class Shard:
@@ -228,12 +231,15 @@ class Shard:
         n, symbols, rules, self.n_ids, self.before, width = map(int, np.frombuffer(view, "<u8", 6, 16))
         at = 64
         parts = []
-        for kind, count in (("<i8", n), ("u1", n), ("<u8", n), ("<u8", n), ("<u4", 2 * rules), ("<u4", rules), (f"<u{width}", symbols)):
+        for kind, count in (("<i8", n), ("u1", n), ("<u8", n), ("<u8", n), ("<u4", 2 * rules), ("<u4", rules), ("<u2", symbols), *[("u1", -(-symbols // 8))] * (width - 16)):
             parts.append(np.frombuffer(view, kind, count, at))
             at += parts[-1].nbytes
         if at != len(view):
             raise ValueError("a token shard is cut off")
-        ids, known, self.first_symbol, self.counts, rules_, self.lengths, self.symbols = parts
+        ids, known, self.first_symbol, self.counts, rules_, self.lengths, low, *planes = parts
+        self.symbols = low.astype(np.uint32)
+        for k, plane in enumerate(planes, 16):
+            self.symbols |= np.unpackbits(plane, count=symbols).astype(np.uint32) << np.uint32(k)
         self.rules = rules_.reshape(-1, 2)
         self.doc_ids = [int(x) if k else None for x, k in zip(ids, known, strict=True)]
 

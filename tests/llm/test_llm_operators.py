@@ -447,3 +447,13 @@ def test_quality_lines_counted_whole():
     x = O2.features(buf, offs)
     distinct = x[:, O2.FEATURES.index("distinct_lines")] * (np.array([t.count("\n") for t in texts]) + 1)
     assert distinct.tolist() == pytest.approx([3, 2, 5])
+
+
+def test_grammar_leaves_no_frequent_pair():
+    passage = np.random.default_rng(3).integers(2, 70_000, 1000).astype(np.uint32)
+    ids = np.tile(np.append(passage, np.uint32(1)), 64)
+    counts = np.full(64, 1001)
+    symbols, rules, lengths, _ = O8.compress(ids, np.cumsum(counts) - 1, 70_000)
+    assert len(symbols) <= 3 * 64 and lengths.max() > 8 and np.array_equal(O8.expand(symbols, rules, 70_000), ids)
+    shard = O8.Shard(O8.pack(list(range(64)), ids, counts, 0, 70_000))
+    assert np.array_equal(shard.all(), ids) and np.array_equal(shard.document(5), ids[:1001])
