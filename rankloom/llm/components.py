@@ -14,13 +14,14 @@ def _jump(hook: DataFrame) -> DataFrame:
     return hook.join(onward, "to", "left").select("component", F.coalesce("further", "to").alias("to"))
 
 
-def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, component) of every node with a link; component is the smallest id that can be reached.
+def connected(links: DataFrame, most_rounds: int = 60) -> tuple[DataFrame, str]:
+    """A saved table (id, component) of every node with a link, and its path; component is the smallest id that can be reached.
 
     ``links`` has the columns a and b. Every round each edge between two components hooks the greater label onto the
     least label it touches, and labels jump along two hooks, so that the rounds grow with the logarithm of the longest
     path. Minima are aggregated before the shuffle, so a node with very many links costs one row per task. A round is
-    one job that writes the labels to the shared folder and counts the changes. Null ends are ignored.
+    one job that writes the labels to the shared folder and counts the changes. Null ends are ignored. Labels that still
+    change after ``most_rounds`` rounds are an error.
     """
     spark = links.sparkSession
     edges, edges_at = C.save(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
@@ -41,5 +42,5 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels, at = moved.select("id", "component"), moved_at
         if not seen["changed"]:
             C.drop(spark, edges_at)
-            return labels
+            return labels, at
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rankloom.llm import common as C
 from rankloom.llm import components, registry
@@ -119,7 +120,7 @@ def shingles(text, size):
 
 def brute_groups(rows, size):
     sets = [(i, shingles(t, size)) for i, t in rows]
-    up = {i: i for i, _ in sets}
+    up = {k: k for k in range(len(sets))}
 
     def find(x):
         while up[x] != x:
@@ -127,11 +128,15 @@ def brute_groups(rows, size):
         return x
 
     for k, (i, a) in enumerate(sets):
-        for j, b in sets[:k]:
+        for m, (j, b) in enumerate(sets[:k]):
             if a and b and i is not None and j is not None and 100 * len(a & b) >= 80 * len(a | b):
-                x, y = find(i), find(j)
-                up[max(x, y)] = min(x, y)
-    return sorted(((i, len(s), find(i), i == find(i)) for i, s in sets), key=str)
+                up[find(k)] = find(m)
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    own = [None if i is None else least[find(k)] for k, (i, _) in enumerate(sets)]
+    return sorted(((i, len(s), c, i == c) for (i, s), c in zip(sets, own, strict=True)), key=str)
 
 
 def near_corpus():
@@ -157,20 +162,45 @@ def near_corpus():
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_groups_brute_force(spark, size):
     rows = near_corpus()
-    found = O3.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), shingle=size, log_slots=14)
+    found = O3.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), shingle=size)
     assert as_map(found, "doc_id", "n_shingles", "component_id", "kept") == brute_groups(rows, size)
 
 
 def test_near_groups_odd_rows(spark):
-    found = O3.near_groups(odd(spark), log_slots=10)
+    found = O3.near_groups(odd(spark))
     assert as_map(found, "doc_id", "n_shingles", "component_id") == [(a, b, c) for a, b, c, _ in brute_groups([(r[0], r[1]) for r in ODD], 2)]
-    assert O3.near_groups(odd(spark, []), log_slots=10).count() == 0
-    assert O3.keep_one(odd(spark)).columns == odd(spark).columns
+    assert O3.near_groups(odd(spark, [])).count() == 0
+    kept = O3.keep_one(odd(spark).withColumn("_kept_id", F.lit(1)))
+    assert kept.columns == [*odd(spark).columns, "_kept_id"]
+    # five-word shingles: 5 and 5 repeat 1, -3 differs in case alone, "lost words" is one shingle under two ids
+    assert as_map(kept, "doc_id", "text") == sorted(((i, t) for i, t, _ in ODD if i not in (1, 5)), key=str)
+
+
+def test_near_groups_same_id_other_text(spark):
+    base, other = " ".join(f"b{i}" for i in range(40)), " ".join(f"o{i}" for i in range(40))
+    rows = [(1, base), (1, other), (2, base + " end"), (3, other + " end")]
+    found = O3.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert as_map(found, "doc_id", "n_shingles", "component_id", "kept") == brute_groups(rows, 2)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_groups_around_the_threshold(spark, seed):
+    """Copies with so many edits of their own that most are linked to few others or none."""
+    rng = np.random.default_rng(seed)
+    base = [f"t{i}" for i in range(60 + 20 * seed)]
+    rows = []
+    for n in range(160):
+        w = [x for x in base if rng.random() > 0.03 * (n % 4)]
+        for _ in range(rng.integers(0, 9)):
+            w[rng.integers(0, len(w))] = f"e{rng.integers(0, (5, 50, 10**9)[n % 3])}"
+        rows.append((n, " ".join(w[: len(w) - int(rng.integers(0, 12))])))
+    found = O3.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert as_map(found, "doc_id", "n_shingles", "component_id", "kept") == brute_groups(rows, 2)
 
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (300, 300), (None, 5)] + [(1000, 1000 + i) for i in range(50)]
-    found = {r.id: r.component for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = {r.id: r.component for r in components.connected(spark.createDataFrame(edges, "a long, b long"))[0].collect()}
     assert {found[i] for i in range(61)} == {0} and {found[i] for i in (100, 150, 200)} == {100} and {found[1000 + i] for i in range(50)} == {1000} and 300 not in found
 
 
