@@ -2,17 +2,20 @@
 
 Writing: one record for each page. The first page of equal payloads is a ``response``, the others are ``revisit``
 records that refer to it. A response is an HTTP message with chunked transfer coding; a block longer than
-``segment_bytes`` goes on in ``continuation`` records. Archives are rows of bytes in a Parquet table of the shared
-folder, so that a lost executor leaves no half-written archive.
+``segment_bytes`` goes on in ``continuation`` records. Each record is a gzip member of its own, as in ``.warc.gz``
+files. Archives are rows of bytes in a Parquet table of the shared folder, so that a lost executor leaves no
+half-written archive; segmented records have archives of their own.
 
-Reading: records are parsed from the archives, continuation records are grouped with their origin by its
+Reading: records are parsed from the archives. Whole ones are decoded at once. Segments are grouped by their origin's
 identifier, ordered by segment number and checked against the total length, then the chunked framing is decoded.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 from rankloom.llm import common as C
 
 SEGMENT_BYTES, ARCHIVE_BYTES, CHUNK = 16 << 10, 4 << 20, 4096
+#: Bytes of an archive that the decoder is given at once, and the effort of the encoder (1 to 9).
+_READ, _EFFORT = 1 << 14, 4
 DATE = "2024-01-01T00:00:00Z"
 _CRLF = b"\r\n"
 
@@ -59,21 +64,31 @@ def record(kind: str, name: str, block: bytes, **fields: str) -> bytes:
     return "\r\n".join(["WARC/1.1", *head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
+def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """The fields (lower-case names) and the block of one record."""
+    end = data.find(b"\r\n\r\n")
+    lines = data[: max(end, 0)].decode().split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("no WARC record where one should begin")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    n = int(fields["content-length"])
+    if len(data) != end + n + 8 or data[-4:] != b"\r\n\r\n":
+        raise ValueError("a WARC record is cut off")
+    return fields, data[end + 4 : end + 4 + n]
+
+
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The fields (lower-case names) and blocks of an archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("no WARC record where one should begin")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        n = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + n]
-        if len(block) < n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
-            raise ValueError("a WARC record is cut off")
-        yield fields, block
-        at = end + 8 + n
+    """The records of an archive, one gzip member each."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            given = view[at : at + _READ]
+            if not given:
+                raise ValueError("an archive is cut off")
+            parts.append(member.decompress(given))
+            at += len(given) - len(member.unused_data)
+        yield parse_record(b"".join(parts))
 
 
 def _safe(url: str | None) -> str | None:
@@ -103,96 +118,135 @@ def page_records(name: str, page: int | None, url: str | None, payload: bytes, r
 
 def _write(segment_bytes: int, archive_bytes: int):
     def run(batches):
-        part, number, held, size, place = TaskContext.get().partitionId(), 0, [], 0, 0
+        part, number, place = TaskContext.get().partitionId(), 0, 0
+        held: dict[bool, list[bytes]] = {False: [], True: []}
+        size = {False: 0, True: 0}
+
+        def archive(segmented: bool) -> pa.RecordBatch:
+            nonlocal place
+            data = b"".join(held[segmented])
+            held[segmented], size[segmented] = [], 0
+            place += 1
+            return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{place:06d}.warc.gz"]), pa.array([segmented]), C.binary([data])], ["archive", "segmented", "data"])
+
         for batch in batches:
-            for page, url, html, first in zip(*(batch.column(x).to_pylist() for x in ("page_id", "url", "html", "first")), strict=True):
+            for page, url, html, first in zip(*(batch.column(x) for x in ("page_id", "url", "html", "first")), strict=True):
+                page = page.as_py()
                 name = f"urn:page:{'none' if page is None else page}:{part}-{number}"
                 number += 1
-                for own in page_records(name, page, url, html, first, segment_bytes):
-                    held.append(own)
-                    size += len(own)
-                if size >= archive_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{place:06d}.warc"]), C.binary([b"".join(held)])], ["archive", "data"])
-                    held, size, place = [], 0, place + 1
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{place:06d}.warc"]), C.binary([b"".join(held)])], ["archive", "data"])
+                own = [gzip.compress(x, _EFFORT, mtime=0) for x in page_records(name, page, url.as_py(), html.as_py(), first.as_py(), segment_bytes)]
+                segmented = len(own) > 1
+                held[segmented] += own
+                size[segmented] += sum(map(len, own))
+                if size[segmented] >= archive_bytes:
+                    yield archive(segmented)
+        for segmented in (False, True):
+            if held[segmented]:
+                yield archive(segmented)
 
     return run
 
 
 def write_archives(pages: DataFrame, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> tuple[DataFrame, str]:
-    """Archives of all pages, as rows (archive, data) of a table in the shared folder."""
+    """Archives of all pages, as rows (archive, segmented, data) of a table in the shared folder."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html"))
     keyed = rows.withColumns({"_sha": F.sha1("html"), "_mix": F.xxhash64("html"), "_size": F.octet_length("html")})
     # copies only: a payload of its own needs no partner; partial aggregation keeps a hot payload small
     same = keyed.where(F.col("_size") >= min_bytes).groupBy("_sha", "_mix", "_size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     joined = keyed.join(same, ["_sha", "_mix", "_size"], "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return C.save(joined.select("page_id", "url", "html", refers.alias("first")).mapInArrow(_write(segment_bytes, archive_bytes), "archive string, data binary"), "warc")
+    return C.save(joined.select("page_id", "url", "html", refers.alias("first")).mapInArrow(_write(segment_bytes, archive_bytes), "archive string, segmented boolean, data binary"), "warc")
+
+
+_PARTS = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("page_id", pa.int64()), ("kind", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("block", pa.binary())])
+_PAGES = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+def _number(text: str | None) -> int | None:
+    return None if text is None else int(text)
 
 
-_PARTS = "origin string, number int, total long, page_id long, kind string, digest string, refers_to long, block binary"
+def _page(fields: dict[str, str], block: bytes, keep_payload: bool) -> tuple:
+    """What a record says of its page, its payload checked against its digest."""
+    kind, found = fields["warc-type"], (fields.get("warc-payload-digest") or "").removeprefix("sha1:")
+    head, _, body = block.partition(b"\r\n\r\n")
+    http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(_CRLF)[1:])}
+    payload, refers = None, fields.get("warc-refers-to")
+    if kind == "revisit":
+        n = int(http[b"content-length"])
+    else:
+        payload = unchunked(body) if http.get(b"transfer-encoding") == b"chunked" else body
+        n = len(payload)
+        if digest(payload) != found:
+            raise ValueError(f"{fields['warc-record-id']}: another payload than was digested")
+    return _number(fields.get("page-id")), n, found, kind, _number(refers and refers.strip("<>").removeprefix("urn:page:")), payload if keep_payload else None
 
 
-def _parse(batches):
-    """The records of each archive as rows."""
+def _whole(keep_payload: bool):
+    """The pages of records without segments, decoded where they are parsed."""
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column("data"):
+                yield _batch([_page(f, block, keep_payload) for f, block in records(data.as_py()) if "warc-segment-number" not in f], _PAGES)
+
+    return run
+
+
+def _segments(batches):
+    """The segments of each archive as rows."""
     for batch in batches:
         for data in batch.column("data"):
             out = []
-            for fields, block in records(data.as_py()):
-                more = fields["warc-type"] == "continuation"
-                total, page, refers, found = (fields.get(x) for x in ("warc-segment-total-length", "page-id", "warc-refers-to", "warc-payload-digest"))
-                out.append((
-                    fields["warc-segment-origin-id" if more else "warc-record-id"].strip("<>"), int(fields.get("warc-segment-number", 0)),
-                    total and int(total), page and int(page), fields["warc-type"], found and found.removeprefix("sha1:"),
-                    refers and int(refers.strip("<>").removeprefix("urn:page:")), block))
-            columns = list(zip(*out, strict=True)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["origin", "number", "total", "page_id", "kind", "digest", "refers_to", "block"])
-
-
-def _decode(keep_payload: bool):
+            for f, block in records(data.as_py()):
+                if "warc-segment-number" in f:
+                    more = f["warc-type"] == "continuation"
+                    out.append((
+                        f["warc-segment-origin-id" if more else "warc-record-id"].strip("<>"), int(f["warc-segment-number"]), _number(f.get("warc-segment-total-length")),
+                        _number(f.get("page-id")), f["warc-type"], f.get("warc-payload-digest"), None, block))
+            yield _batch(out, _PARTS)
+
+
+def _join_segments(keep_payload: bool):
     def run(batches):
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                blocks = [x["block"] for x in row["parts"]]
                 numbers = [x["number"] for x in row["parts"]]
-                if numbers not in ([0], list(range(1, len(numbers) + 1))):
+                if numbers != list(range(1, len(numbers) + 1)):
                     raise ValueError(f"{row['origin']}: segments {numbers}")
-                block = b"".join(blocks)
-                if len(blocks) > 1 and row["total"] != len(block):
+                block = b"".join(x["block"] for x in row["parts"])
+                if row["total"] != len(block):
                     raise ValueError(f"{row['origin']}: {len(block)} bytes of {row['total']}")
-                head, _, body = block.partition(b"\r\n\r\n")
-                http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(_CRLF)[1:])}
-                payload = None
-                if row["kind"] == "revisit":
-                    n, found = int(http[b"content-length"]), row["digest"]
-                else:
-                    payload = unchunked(body) if http.get(b"transfer-encoding") == b"chunked" else body
-                    n, found = len(payload), digest(payload)
-                    if found != row["digest"]:
-                        raise ValueError(f"{row['origin']}: another payload than was digested")
-                out.append((row["page_id"], n, found, row["kind"], row["refers_to"], payload))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-            names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-            keep = 6 if keep_payload else 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:keep], kinds, strict=False)], names[:keep])
+                fields = {"warc-type": row["kind"], "warc-record-id": row["origin"], "warc-payload-digest": row["digest"]}
+                _, *rest = _page(fields, block, keep_payload)
+                out.append((row["page_id"], *rest))
+            yield _batch(out, _PAGES)
 
     return run
 
 
 def read_archives(archives: DataFrame, keep_payload: bool = False) -> DataFrame:
-    """The pages of archives. A group is one record with its segments, so it has at most that record's bytes.
+    """The pages of archives (archive, segmented, data); ``segmented`` may be false only where no record is.
+
+    Segments alone are shuffled, and a group is one record, so it has at most that record's bytes.
 
     Returns page_id, payload_bytes, payload_digest, record_type, refers_to and, on request, payload (null for revisits).
     """
-    parts = archives.select("data").mapInArrow(_parse, _PARTS)
-    whole = parts.groupBy("origin").agg(
-        F.max("total").alias("total"), F.max("page_id").alias("page_id"), F.max(F.when(F.col("kind") != "continuation", F.col("kind"))).alias("kind"), F.max("digest").alias("digest"), F.max("refers_to").alias("refers_to"),
+    shape = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+    whole = archives.select("data").mapInArrow(_whole(keep_payload), shape)
+    parts = archives.where(F.coalesce("segmented", F.lit(True))).select("data").mapInArrow(
+        _segments, "origin string, number int, total long, page_id long, kind string, digest string, refers_to long, block binary")
+    grouped = parts.groupBy("origin").agg(
+        F.max("total").alias("total"), F.max("page_id").alias("page_id"), F.max(F.when(F.col("kind") != "continuation", F.col("kind"))).alias("kind"), F.max("digest").alias("digest"),
         F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"))
-    out = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if keep_payload else "")
-    return whole.mapInArrow(_decode(keep_payload), out)
+    out = whole.unionByName(grouped.mapInArrow(_join_segments(keep_payload), shape))
+    return out if keep_payload else out.drop("payload")
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -414,9 +415,21 @@ def test_warc_segments(spark):
     assert O9.archive_round_trip(pages.where("false")).count() == 0
     assert {r.record_type for r in O9.archive_round_trip(pages, min_bytes=100).collect()} == {"response"}
     broken = [r for r in O9.records(raw) if not (r[0]["warc-type"] == "continuation" and r[0]["warc-segment-number"] == "2")]
-    data = b"".join(b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in f.items()).encode() + b"\r\n" + b + b"\r\n\r\n" for f, b in broken)
-    with pytest.raises(Exception, match="segments"):
-        O9.read_archives(spark.createDataFrame([(bytearray(data),)], "data binary")).collect()
+    data = b"".join(gzip.compress(b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in f.items()).encode() + b"\r\n" + b + b"\r\n\r\n") for f, b in broken)
+    for given, why in ((data, "segments"), (data[:-20], "cut off"), (gzip.compress(b"HTTP/1.1 200 OK"), "no WARC record")):
+        with pytest.raises(Exception, match=why):
+            O9.read_archives(spark.createDataFrame([(bytearray(given), None)], "data binary, segmented boolean")).collect()
+
+
+def test_warc_repeated_rows_and_long_pages(spark):
+    """Rows that repeat a page are a response each; a page of 5 MB is cut and put together again."""
+    rng = np.random.default_rng(9)
+    long = "".join(map(chr, rng.integers(32, 1000, 3_000_000)))
+    pages = spark.createDataFrame([(1, None, "same"), (1, None, "same"), (2, "", "same"), (3, "u", long), (None, "u", long), (4, "u", None)], "page_id long, url string, html string")
+    found = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in O9.archive_round_trip(pages).collect()), key=str)
+    size, name = len(long.encode()), O9.digest(long.encode())
+    wanted = [(1, 4, O9.digest(b"same"), "response", None)] * 2 + [(2, 4, O9.digest(b"same"), "revisit", 1), (3, size, name, "response", None), (None, size, name, "revisit", 3), (4, 0, O9.digest(b""), "response", None)]
+    assert size > C.CHUNK_BYTES and found == sorted(wanted, key=str)
 
 
 @settings(max_examples=60, deadline=None)
