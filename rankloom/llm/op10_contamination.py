@@ -5,8 +5,10 @@ each partition searches passages of its own scale: for items of up to ``u`` shin
 shingles, one of which holds any run of ``u``. Windows are compared by MinHash: containment ``t`` of an item with
 more than ``u / 2`` shingles means a similarity of at least ``0.5 t / (1.5 + 0.5 (1 - t))`` with that window (0.25
 at 0.8), so a window is missed with the probability that none of ``COORDINATES`` minima agree, one in a million.
-Block minima are computed once at the finest scale and combined for the coarser ones. Candidates are verified by the
-exact containment of the item's shingles, as words, in the whole document.
+Block minima are computed once at the finest scale and combined for the coarser ones. An item whose shingles lie
+scattered over more than a window is found by an exact bound: at containment ``t`` a document holds one of any
+``n - ceil(t n) + 1`` of the item's ``n`` shingles, and those that the fewest items share are looked up. Candidates
+are verified by the exact containment of the item's shingles, as words, in the whole document.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 from rankloom.llm import common as C
 
 SHINGLE, CONTAINMENT, COORDINATES = 5, 0.8, 48
-#: Most items that are broadcast at a time; more go in further passes over the documents.
-ITEM_BLOCK = 5000
+#: Most items, and about the most bytes of them, that are broadcast at a time; more go in further passes over the documents.
+ITEM_BLOCK, ITEM_BYTES = 5000, 16 << 20
+#: Bits of a shingle's hash that are looked up in a table before the sorted shingles.
+_MARK_BITS = 20
 _BASE = 0xA0761D6478BD642F
 _rng = np.random.default_rng(510)
 _MUL = (_rng.integers(0, 1 << 31, 256, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -67,8 +71,8 @@ def _scale(n: int) -> int:
 class ItemIndex:
     """Signatures of a bounded block of items by size partition."""
 
-    def __init__(self, items: list[tuple[object, str]], size: int, coordinates: int):
-        self.ids, self.sets = [], []
+    def __init__(self, items: list[tuple[object, str]], size: int, coordinates: int, least: float):
+        self.ids, self.sets, self.hashes = [], [], []
         by_scale: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for name, text in items:
             raw = C.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
@@ -80,6 +84,7 @@ class ItemIndex:
                 by_scale[_scale(len(own))].append((len(self.ids), sig))
                 self.ids.append(name)
                 self.sets.append(_shingle_words(raw.tobytes(), size))
+                self.hashes.append(own)
         self.scales = {}
         for u, own in sorted(by_scale.items()):
             number = np.array([i for i, _ in own])
@@ -89,9 +94,38 @@ class ItemIndex:
             order = np.argsort(sig, axis=0, kind="stable")
             self.scales[u] = (marks, np.take_along_axis(sig, order, 0), number[order])
         self.finest = max(1, min(self.scales, default=2) // 2)
-
-
-def _search(index: ItemIndex, buf: np.ndarray, offs: np.ndarray, size: int, coordinates: int) -> set[tuple[int, int]]:
+        # of each item the rarest shingles, one of which is in any document that holds enough of it
+        known, often = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.hashes]), return_counts=True)
+        rare, item = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, own in enumerate(self.hashes):
+            most = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1
+            rare.append(own[np.argsort(often[np.searchsorted(known, own)], kind="stable")[:most]])
+            item.append(np.full(len(rare[-1]), i))
+        order = np.argsort(np.concatenate(rare), kind="stable")
+        self.rare, self.rare_item = np.concatenate(rare)[order], np.concatenate(item)[order]
+        self.rare_marks = np.zeros(1 << _MARK_BITS, bool)
+        self.rare_marks[self.rare >> np.uint64(64 - _MARK_BITS)] = True
+
+
+def _scattered(index: ItemIndex, shingles: np.ndarray, edge: np.ndarray, least: float, found: set[tuple[int, int]]) -> None:
+    """Adds the pairs that share a rare shingle and, by their hashes, enough of the item."""
+    hit = np.flatnonzero(index.rare_marks[shingles >> np.uint64(64 - _MARK_BITS)])
+    a, b = np.searchsorted(index.rare, shingles[hit], "left"), np.searchsorted(index.rare, shingles[hit], "right")
+    hit, a, b = hit[b > a], a[b > a], b[b > a]
+    row, place = C.ragged(b - a)
+    text = np.searchsorted(edge, hit, "right") - 1
+    pairs = np.unique(np.stack([text[row], index.rare_item[a[row] + place]], axis=1), axis=0)
+    held, own = -1, shingles[:0]
+    for i, k in pairs.tolist():
+        if (i, k) not in found:
+            if i != held:
+                held, own = i, np.unique(shingles[edge[i] : edge[i + 1]])
+            x = index.hashes[k]
+            if (own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x).sum() >= least * len(x) - 1e-9:
+                found.add((i, k))
+
+
+def _search(index: ItemIndex, buf: np.ndarray, offs: np.ndarray, size: int, coordinates: int, least: float) -> set[tuple[int, int]]:
     """Candidate (text, item) pairs."""
     shingles, edge = _shingle_hashes(buf, offs, size)
     found: set[tuple[int, int]] = set()
@@ -132,13 +166,14 @@ def _search(index: ItemIndex, buf: np.ndarray, offs: np.ndarray, size: int, coor
                 break
             step *= 2
             minima = np.minimum.reduceat(minima, levels[step][0])
+    _scattered(index, shingles, edge, least, found)
     return found
 
 
 def _matches(index: ItemIndex, buf: np.ndarray, offs: np.ndarray, size: int, coordinates: int, least: float) -> list[tuple[int, int, int]]:
     """Verified (text, item, shared shingles)."""
     by_text = defaultdict(list)
-    for text, item in _search(index, buf, offs, size, coordinates):
+    for text, item in _search(index, buf, offs, size, coordinates, least):
         by_text[text].append(item)
     out = []
     for text, items in sorted(by_text.items()):
@@ -171,25 +206,25 @@ def _scan(index, size: int, coordinates: int, least: float, keep: bool):
     return run
 
 
-def _blocks(items: DataFrame, size: int, coordinates: int, block: int):
-    """Broadcast indexes of at most ``block`` items each."""
+def _blocks(items: DataFrame, size: int, coordinates: int, block: int, least: float):
+    """Broadcast indexes of at most ``block`` items and about ``ITEM_BYTES`` each."""
     spark = items.sparkSession
-    held = []
+    held, used = [], 0
     for r in items.select(F.col("item_id").cast("long"), F.col("text")).orderBy("item_id", "text").toLocalIterator():
         held.append(tuple(r))
-        if len(held) == block:
-            yield spark.sparkContext.broadcast(ItemIndex(held, size, coordinates))
-            held = []
+        used += len(r[1] or "")
+        if len(held) == block or used >= ITEM_BYTES:
+            yield spark.sparkContext.broadcast(ItemIndex(held, size, coordinates, least))
+            held, used = [], 0
     if held:
-        yield spark.sparkContext.broadcast(ItemIndex(held, size, coordinates))
+        yield spark.sparkContext.broadcast(ItemIndex(held, size, coordinates, least))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = CONTAINMENT, coordinates: int = COORDINATES, block: int = ITEM_BLOCK) -> DataFrame:
     """Every (document, item) of which the document holds at least ``least`` of the item's distinct shingles.
 
     Words are lower-cased A-Z and separated by [\\x20\\x09-\\x0D]. A text of fewer than ``size`` words is one shingle, so
-    such an item is found in equal texts only. An item is searched as a passage: one whose shingles lie scattered
-    over more than 1.5 times its length may be missed. Null or empty texts and items match nothing; repeated
+    such an item is found in equal texts only. An item's shingles may lie anywhere in the document. Null or empty texts and items match nothing; repeated
     documents and items are reported each; empty tables give an empty result; further columns are ignored. Documents
     are not shuffled; a worker's memory grows with the longest text.
 
@@ -198,7 +233,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = "doc_id long, item_id long, shared long, item_shingles long, containment double"
     found = docs.sparkSession.createDataFrame([], out)
-    for n, index in enumerate(_blocks(items, size, coordinates, block)):
+    for n, index in enumerate(_blocks(items, size, coordinates, block, least)):
         own = rows.mapInArrow(_scan(index, size, coordinates, least, False), out)
         found = found.unionByName(own) if n else own
     return found
@@ -207,7 +242,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns unchanged."""
     size, least, coordinates = options.get("size", SHINGLE), options.get("least", CONTAINMENT), options.get("coordinates", COORDINATES)
-    for index in _blocks(items, size, coordinates, options.get("block", ITEM_BLOCK)):
+    for index in _blocks(items, size, coordinates, options.get("block", ITEM_BLOCK), least):
         rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
         docs = rows.mapInArrow(_scan(index, size, coordinates, least, True), f"_row {rows.schema['_row'].dataType.simpleString()}").select("_row.*")
     return docs
