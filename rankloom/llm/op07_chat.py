@@ -6,7 +6,7 @@ Rendering yields pieces while it walks over the messages, so a conversation of a
 
 Language: ``{{ expression }}``, ``{% if %} {% elif %} {% else %} {% endif %}``, ``{% for x in y %} {% endfor %}`` (with
 ``loop.first`` and ``loop.index0``), ``{% generation %} {% endgeneration %}`` around what a model is trained on, and
-comments ``{# #}``. Expressions have strings, integers, true, false, none, names, ``a.b`` and ``a['b']``, ``+ ~ == != < > <= >=
+comments ``{# #}``. A hyphen inside a tag's mark (``{%-``, ``-%}``, ``{{-``, ``-}}``) drops the white space on that side. Expressions have strings, integers, true, false, none, names, ``a.b`` and ``a['b']``, ``+ ~ == != < > <= >=
 and or not``, parentheses and the filters escape, escape_line, trim, upper, lower and length.
 """
 
@@ -63,7 +63,7 @@ class TemplateError(ValueError):
 
 # ---------------------------------------------------------------- syntax
 
-_TAG = re.compile(r"\{#.*?#\}|\{\{(.*?)\}\}|\{%-?\s*(.*?)\s*-?%\}", re.DOTALL)
+_TAG = re.compile(r"\{#.*?#\}|\{\{(?P<before>-?)(?P<output>.*?)(?P<after>-?)\}\}|\{%(?P<ahead>-?)\s*(?P<tag>.*?)\s*(?P<behind>-?)%\}", re.DOTALL)
 _TOKEN = re.compile(r"\s*(?:(?P<string>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-+~<>().\[\]|]))", re.DOTALL)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\", "'": "'", '"': '"'}
 _FILTERS: dict[str, Callable] = {
@@ -181,27 +181,28 @@ def parse(source: str) -> list[tuple]:
     """The syntax tree of a template: text, output, if, for and generation nodes."""
     root: list[tuple] = []
     stack: list[tuple[str, list, list]] = [("", root, [])]
-    at = 0
+    at, trim = 0, False
     for m in _TAG.finditer(source):
-        body = stack[-1][1]
-        if m.start() > at:
-            body.append(("text", source[at : m.start()]))
-        at = m.end()
-        if m[1] is not None:
-            body.append(("output", _Expression(m[1]).tree))
-        elif m[2] is not None:
-            word, _, rest = m[2].partition(" ")
+        body, text = stack[-1][1], source[at : m.start()]
+        text = text.lstrip() if trim else text
+        text = text.rstrip() if m["before"] or m["ahead"] else text
+        if text:
+            body.append(("text", text))
+        at, trim = m.end(), bool(m["after"] or m["behind"])
+        if m["output"] is not None:
+            body.append(("output", _Expression(m["output"]).tree))
+        elif m["tag"] is not None:
+            word, _, rest = m["tag"].partition(" ")
             if word == "if":
                 stack.append(("if", own := [], [(_Expression(rest).tree, own)]))
             elif word in ("elif", "else"):
+                if stack[-1][0] == "else":
+                    raise TemplateError("a branch after else")
                 if stack[-1][0] != "if":
                     raise TemplateError(f"{word} outside if")
-                branches = stack[-1][2]
-                if branches[-1][0] == ("const", True) and word in ("elif", "else") and len(branches) > 1 and branches[-1][2:] == ("else",):
-                    raise TemplateError("a branch after else")
-                own = []
+                branches, own = stack[-1][2], []
                 branches.append((_Expression(rest).tree, own) if word == "elif" else (("const", True), own))
-                stack[-1] = ("if", own, branches)
+                stack[-1] = (word.replace("elif", "if"), own, branches)
             elif word == "for":
                 found = re.fullmatch(r"([A-Za-z_]\w*)\s+in\s+(.+)", rest, re.DOTALL)
                 if not found:
@@ -211,6 +212,7 @@ def parse(source: str) -> list[tuple]:
                 stack.append(("generation", [], []))
             elif word in ("endif", "endfor", "endgeneration"):
                 kind, own, more = stack.pop()
+                kind = "if" if kind == "else" else kind
                 if kind != word.removeprefix("end") or not stack:
                     raise TemplateError(f"{word} closes nothing")
                 stack[-1][1].append(("if", more) if kind == "if" else ("for", *more, own) if kind == "for" else ("generation", own))
@@ -218,8 +220,8 @@ def parse(source: str) -> list[tuple]:
                 raise TemplateError(f"unknown tag {word}")
     if len(stack) > 1:
         raise TemplateError(f"{stack[-1][0]} isn't closed")
-    if at < len(source):
-        root.append(("text", source[at:]))
+    if rest := source[at:].lstrip() if trim else source[at:]:
+        root.append(("text", rest))
     return root
 
 
@@ -235,9 +237,9 @@ def _fold(tree):
     folded = (kind, *parts)
     if all(x[0] == "const" for x in parts if isinstance(x, tuple)):
         return ("const", _closure(folded)({}))
-    # constants at the seam of two joins meet
+    # constants at the seam of two joins meet; what stands before them is joined as it was
     if kind == "join" and parts[2][0] == "const" and parts[1][0] == "join" and parts[1][3][0] == "const" and all(isinstance(x[1], str) for x in (parts[2], parts[1][3])):
-        return ("join", "+", parts[1][2], ("const", parts[1][3][1] + parts[2][1]))
+        return ("join", parts[1][1], parts[1][2], ("const", parts[1][3][1] + parts[2][1]))
     return folded
 
 
