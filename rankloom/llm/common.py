@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import tempfile
 import uuid
@@ -31,10 +30,12 @@ CHUNK_BYTES = 3 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one is made only where the setting is absent (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``. Where it is unset, a local session gets a folder of its own and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="rankloom-")
         spark.sparkContext.setCheckpointDir(found)
@@ -65,12 +66,6 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of jobs whose results have been read: Spark deletes them once their plans are garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -76,7 +76,7 @@ def _windows(buf: np.ndarray, offs: np.ndarray, width: int, hashes: bool = True)
 
 def _cells(anchor: np.ndarray, row: int, log_cells: int) -> np.ndarray:
     """The cell of each anchor in a row of the sketch."""
-    return (C.mix(anchor + np.uint64(row + 1) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - log_cells)).astype(np.uint32)
+    return (C.mix(anchor + np.uint64((row + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - log_cells)).astype(np.uint32)
 
 
 # ---------------------------------------------------------------- first pass: sketch
@@ -384,7 +384,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     keyed = rows.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text")})
     bits = spark.sparkContext.broadcast(repeated_cells(rows.select("text"), width, depth, log_cells))
-    C.release(spark)
     found = keyed.select("k1", "k2", "text").mapInArrow(_candidates(bits, width, depth, log_cells, buckets), _MESSAGES)
     answers = found.groupBy("bucket").applyInArrow(_exact, "k1 long, k2 long, places binary")
     by_doc = answers.groupBy("k1", "k2").agg(F.collect_list("places").alias("places"))

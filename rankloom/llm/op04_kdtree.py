@@ -1,7 +1,7 @@
 """Sharding by a k-d tree over document metadata with distributed weighted medians.
 
 Every node of the tree is split at the median of bytes along its widest metadata dimension until its leaves reach
-the target bytes. Medians come from histograms that are refined twice: what reaches the driver is one row for each
+the target bytes. Medians come from histograms that are made in three passes, each within one bin of the last: what reaches the driver is one row for each
 open node and bin, whatever the input size. Ties along a dimension (a source may hold a third of all rows) are broken
 by a hash of the document, so a node is cut within its hottest value.
 """
@@ -39,8 +39,8 @@ def _case(nodes: list[_Node], column: Column, value) -> Column:
     return out
 
 
-def kd_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = ("n_chars", "source", "lang")) -> DataFrame:
-    """Put every document into one of ``shards`` shards of near equal bytes.
+def kd_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = ("n_chars", "source", "lang"), target_bytes: int | None = None) -> DataFrame:
+    """Put every document into one of ``shards`` shards of near equal bytes, or into as many as keep them at ``target_bytes`` if that is given.
 
     A document's size is the UTF-8 bytes of its text (null: none) plus 1. The dimensions are the logarithm of the
     size and the listed metadata columns that exist; numbers count as they are, other types by a hash, null as the
@@ -74,6 +74,8 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", tex
     ranks = [(F.floor((F.col(f"_d{i}") - F.lit(float(stats[f"lo{i}"] or 0))) / F.lit(span[i]) * (steps - 1)) + F.col("_tie")) / steps for i in range(len(dims))]
 
     shard_of: dict[int, int] = {}
+    if target_bytes is not None:
+        shards = max(1, -(-(stats["bytes"] or 0) // target_bytes))
     nodes = [_Node(1, shards, 0)]
     place = F.lit(1)
     while nodes:

@@ -320,7 +320,12 @@ def test_templates():
     assert O7.fold(O7.parse("a{{ 'b' | upper }}{% if not true %}x{% endif %}c")) == [("text", "aBc")]
     assert render("{% for m in ms %}{{ loop.index0 }}{{ m['r'] }}{% if not loop.first and m.r != 'q' %}!{% endif %}{% endfor %}", ms=iter([{"r": "p"}, {"r": "q"}, {"r": "s"}])) == "0p1q2s!"
     assert list(O7.compile_template("{% generation %}{{ x }}{% endgeneration %}y")(x="1")) == [("1", True), ("y", False)]
-    for bad in ("{% if x %}", "{% endfor %}", "{{ x | system }}", "{{ (x }}", "{% for x %}{% endfor %}", "{% import os %}", "{{ x + }}", "{{ x ! y }}"):
+    # joins keep their operator: ~ makes text of anything, + doesn't
+    assert render("{{ x ~ 'a' ~ 'b' }}{{ x ~ 'a' + 'b' }}", x=1) == "1ab1ab"
+    with pytest.raises(TypeError):
+        render("{{ x + 'a' ~ 'b' }}", x=1)
+    assert render("a \n{%- if true -%} b {%- endif %} c {{- 'd' -}} \t e") == "ab cde"
+    for bad in ("{% if x %}A{% else %}B{% else %}C{% endif %}", "{% if x %}A{% else %}B{% elif y %}C{% endif %}", "{% else %}", "{% if x %}", "{% endfor %}", "{{ x | system }}", "{{ (x }}", "{% for x %}{% endfor %}", "{% import os %}", "{{ x + }}", "{{ x ! y }}"):
         with pytest.raises(O7.TemplateError):
             O7.compile_template(bad)
     for bad in ("{{ x.__class__ }}", "{{ y }}"):
@@ -456,6 +461,10 @@ def test_containment_brute_force(spark):
             at = int(rng.integers(0, len(w) + 1))
             w = w[:at] + part + w[at:]
         docs.append((d, " ".join(w).upper() if d % 2 else "\n".join(w)))
+    # shingles of an item far apart, in pieces of forty words
+    for k in (8, 9, 10):
+        w = items[k][1]
+        docs.append((600 + k, " ".join(" ".join([*w[i : i + 40], *make(900)]) for i in range(0, len(w) - 4, 36))))
     docs += [(500, " ".join(items[11][1])), (501, None), (502, ""), (500, " ".join(items[11][1]))]
     table = [(k, " ".join(w)) for k, w in items] + [(90, None)]
     wanted = []
@@ -469,6 +478,7 @@ def test_containment_brute_force(spark):
     for block in (5000, 4):
         assert as_map(O10.contaminated(d, b, block=block), "doc_id", "item_id", "shared", "item_shingles") == sorted(wanted, key=str)
     hit = {i for i, *_ in wanted}
+    assert {608, 609, 610} <= hit
     assert {r.doc_id for r in O10.drop_contaminated(d, b).collect()} == {i for i, _ in docs} - hit
     assert O10.contaminated(d, b.where("false")).count() == 0 and O10.contaminated(odd(spark, []), b).count() == 0
     assert O10.drop_contaminated(odd(spark), b).columns == odd(spark).columns
