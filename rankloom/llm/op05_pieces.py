@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from rankloom.llm import common as C
 
 SEED, SHARPNESS = 42, 1.0
+#: Bytes of text whose lattices are held at once: a worker needs about 200 times as much.
+LATTICE_BYTES = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -148,8 +150,11 @@ class Lattice:
         by_node = np.lexsort((s, e))
         s, e, p, chance = s[by_node], e[by_node], p[by_node], chance[by_node]
         fresh = np.flatnonzero(np.diff(e, prepend=-1))
-        running = np.cumsum(chance)
-        cumulative = running - np.repeat(running[fresh] - chance[fresh], np.diff(fresh, append=len(e)))
+        # summed within each node alone, so that no draw depends on what else is in the buffer
+        cumulative, count, k = chance, np.diff(fresh, append=len(e)), 1
+        while len(at := fresh[count > k] + k):
+            cumulative[at] += cumulative[at - 1]
+            k += 1
         last = np.append(fresh[1:], len(e)) - 1
         cumulative[last] = 2.0
         first_arc = np.full(len(buf) + 1, -1, np.int64)
@@ -237,7 +242,7 @@ def _segment(path: str, seed: int, sharpness: float):
             names = batch.column("doc_id")
             key = names.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).view(np.uint64)
             key = C.mix(key * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(seed))
-            for i, j in C.slices(offs):
+            for i, j in C.slices(offs, LATTICE_BYTES):
                 text, at = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 ids, counts = own.sample(text, at, key[i:j])
                 back, back_at = own.decode(ids, counts)
