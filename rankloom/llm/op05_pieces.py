@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from rankloom.llm import common as C
 
 SEED, SHARPNESS = 42, 1.0
-#: Bytes of text whose lattices are held at once: a worker needs about 200 times as much.
-LATTICE_BYTES = 1 << 20
+#: Bytes of text whose lattices are held at once: a worker needs 200 times as much or more.
+LATTICE_BYTES = 1 << 19
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
