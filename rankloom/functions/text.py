@@ -35,12 +35,12 @@ def first_words(text: Column, n: int) -> Column:
 
 
 def people_line(names: Column) -> Column:
-    """``a``, ``a and b`` or ``a, b, and c`` from a list separated by semicolons."""
+    """``a``, ``a and b`` or ``a, b and c`` from a list separated by semicolons."""
     parts = F.split(names, ";")
     n = F.size(parts)
     head = F.array_join(F.slice(parts, 1, F.greatest(n - 1, F.lit(1))), ", ")
     last = F.element_at(parts, -1)
-    return F.when(n == 1, names).when(n == 2, F.concat(F.element_at(parts, 1), F.lit(" and "), last)).otherwise(F.concat(head, F.lit(", and "), last))
+    return F.when(n == 1, names).when(n == 2, F.concat(F.element_at(parts, 1), F.lit(" and "), last)).otherwise(F.concat(head, F.lit(" and "), last))
 
 
 def caption(title: Column, people: Column, text: Column) -> Column:
@@ -161,8 +161,8 @@ def order_hash(seed: str, value: Column) -> Column:
 
 
 def natural_number(name: Column) -> Column:
-    """The digits of a name as a number."""
-    return F.try_to_number(F.regexp_extract(name, r"(\d+)", 1), F.lit("9999999999")).cast("long")
+    """All digits of a name as one number; names without digits come last."""
+    return F.coalesce(F.regexp_replace(name, r"[^0-9]", "").try_cast("long"), F.lit(10**9).cast("long"))
 
 
 def percent(x: Column, digits: int = 1) -> Column:

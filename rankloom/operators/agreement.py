@@ -15,7 +15,11 @@ def _signed(human: str, judge: str) -> Column:
 
 
 def agreement(pairs: DataFrame, human: str = "human", judge: str = "judge", by: list[str] | None = None) -> DataFrame:
-    """Exact and within-one agreement, errors and the kinds of disagreement, in one aggregation."""
+    """Exact and within-one agreement, errors and the kinds of disagreement, in one aggregation.
+
+    severe, over and under are differences of two or more; a false zero is a judge's 0 where the human saw something, a
+    false positive the reverse.
+    """
     d = _signed(human, judge)
     return pairs.groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("n"),
@@ -24,10 +28,10 @@ def agreement(pairs: DataFrame, human: str = "human", judge: str = "judge", by:
         F.avg(F.abs(d).cast("double")).alias("mae"),
         F.avg(d.cast("double")).alias("bias"),
         F.count_if(F.abs(d) >= SEVERE).alias("severe"),
-        F.count_if(d > 0).alias("over"),
-        F.count_if(d < 0).alias("under"),
+        F.count_if(d >= SEVERE).alias("over"),
+        F.count_if(d <= -SEVERE).alias("under"),
         F.count_if((F.col(judge) == 0) & (F.col(human) > 0)).alias("false_zero"),
-        F.count_if((F.col(judge) >= POSITIVE) & (F.col(human) < POSITIVE)).alias("false_positive"),
+        F.count_if((F.col(human) == 0) & (F.col(judge) > 0)).alias("false_positive"),
     )
 
 
@@ -40,8 +44,9 @@ def binary_prf(pairs: DataFrame, human: str = "human", judge: str = "judge", thr
 
 
 def confusion(pairs: DataFrame, human: str = "human", judge: str = "judge") -> DataFrame:
-    """A row for each human score that occurs, a column for each judge score, zero filled."""
-    return pairs.groupBy(human).agg(*[F.count_if(F.col(judge) == s).alias(f"judge_{s}") for s in range(SCALE)])
+    """A row for each human score and a column for each judge score of the scale, zero filled."""
+    cells = [F.struct(F.lit(h).alias(human), *[F.count_if((F.col(human) == h) & (F.col(judge) == s)).alias(f"judge_{s}") for s in range(SCALE)]) for h in range(SCALE)]
+    return pairs.agg(F.array(*cells).alias("_cells")).select(F.explode("_cells").alias("_row")).select("_row.*")
 
 
 def weighted_kappa(pairs: DataFrame, human: str = "human", judge: str = "judge", by: list[str] | None = None) -> DataFrame:

@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.operators.metrics import METRICS
+
 CLEAR, EPS = 3, 1e-9
 
 
-def depth_profile(judged: DataFrame, depths: tuple[int, ...] = (5, 10, 20, 50), buckets: tuple[tuple[int, int], ...] = ((1, 10), (11, 20), (21, 50))) -> DataFrame:
-    """Per query: clear and partial counts down to each depth, the best score in rank buckets, and the clear ranks."""
-    count = [F.count_if((F.col("score") >= s) & (F.col("rank") <= d)).alias(f"{n}_at_{d}") for d in depths for s, n in ((3, "clear"), (2, "partial"))]
-    best = [F.max(F.when(F.col("rank").between(a, b), F.col("score"))).alias(f"best_{a}_{b}") for a, b in buckets]
-    clear = F.min(F.when(F.col("score") >= CLEAR, F.col("rank"))).alias("first_clear_rank")
-    ranks = F.array_join(F.sort_array(F.collect_list(F.when(F.col("score") >= CLEAR, F.col("rank")))), ",").alias("clear_ranks")
-    return judged.groupBy("query_id").agg(*count, *best, clear, ranks)
+def _ranks(least: int, low: int, high: int) -> Column:
+    """The ranks from ``low`` to ``high`` with at least a score, as text."""
+    return F.array_join(F.sort_array(F.collect_list(F.when((F.col("score") >= least) & F.col("rank").between(low, high), F.col("rank")))), ",")
+
+
+def depth_profile(judged: DataFrame, depths: tuple[int, ...] = (5, 10, 20, 50), shallow: int = 10, deep: int = 50) -> DataFrame:
+    """Per query: first clear and strong ranks, the best scores and the counts of each score down to ``shallow``, below it and
+    over all, clear and partial counts down to each depth, and the clear and partial ranks below ``shallow``."""
+    score, rank = F.col("score"), F.col("rank")
+    buckets = ((1, shallow), (shallow + 1, deep), (1, deep))
+    first = [F.min(F.when(score >= s, rank)).alias(f"first_{n}_rank") for s, n in ((CLEAR, "clear"), (4, "strong"))]
+    best = [F.max(F.when(rank.between(a, b), score)).alias(f"best_{a}_{b}") for a, b in buckets]
+    below = [F.count_if((score >= s) & rank.between(shallow + 1, deep)).alias(f"{n}_{shallow + 1}_{deep}") for s, n in ((3, "clear"), (2, "partial"))]
+    listed = [_ranks(s, shallow + 1, deep).alias(f"{n}_ranks") for s, n in ((3, "clear"), (2, "partial"))]
+    count = [F.count_if((score >= s) & (rank <= d)).alias(f"{n}_at_{d}") for d in depths for s, n in ((3, "clear"), (2, "partial"))]
+    cells = [F.count_if((score == s) & rank.between(a, b)).alias(f"ranks_{a}_{b}_score_{s}") for a, b in buckets for s in range(5)]
+    return judged.groupBy("query_id").agg(*first, *best, *below, *listed, *count, *cells)
 
 
 def oracle_topk(judged: DataFrame, k: int = 10) -> DataFrame:
@@ -30,20 +42,48 @@ def limitation_class(oracle_summary: DataFrame) -> DataFrame:
     return oracle_summary.withColumn("limitation", F.when(poor, "RETRIEVAL_LIMITED").when(good, "RERANKER_LIMITED").otherwise("MIXED"))
 
 
-def headroom(judged: DataFrame, shallow: int = 10, deep: int = 50) -> DataFrame:
-    """For queries without a clear result up to ``shallow``: whether one lies up to ``deep``, deeper, or nowhere."""
-    first = F.min(F.when(F.col("score") >= CLEAR, F.col("rank")))
-    out = judged.groupBy("query_id").agg(first.alias("first_clear_rank"), F.max("rank").alias("depth")).where((F.col("first_clear_rank") > shallow) | F.col("first_clear_rank").isNull())
-    kind = F.when(F.col("first_clear_rank").isNull(), "NO_CLEAR").when(F.col("first_clear_rank") <= deep, f"HEADROOM_FOUND_{shallow + 1}_{deep}").otherwise(f"HEADROOM_FOUND_AFTER_{deep}")
-    return out.withColumn("headroom", kind)
+def unclear(judged: DataFrame, shallow: int = 10) -> DataFrame:
+    """The queries whose first ``shallow`` results hold no clear one."""
+    return judged.groupBy("query_id").agg(F.count_if((F.col("score") >= CLEAR) & (F.col("rank") <= shallow)).alias("_n")).where("_n = 0").select("query_id")
+
+
+def headroom(judged: DataFrame, low: int = 11, high: int | None = 50) -> DataFrame:
+    """Per query: what the results from rank ``low`` to ``high`` (None: the last one) hold, and whether one is clear."""
+    score, last = F.col("score"), ("END", "FULL_UNION") if high is None else (str(high), str(high))
+    rows = judged.where((F.col("rank") >= low) & (F.col("rank") <= high if high is not None else F.lit(True)))
+    out = rows.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n_candidates"), F.max("score").alias("best_score"), F.count_if(score >= CLEAR).alias("n_clear"), F.count_if(score == 2).alias("n_partial"), F.count_if(score == 1).alias("n_incidental"),
+        F.count_if(score == 0).alias("n_irrelevant"), F.min(F.when(score >= CLEAR, F.col("rank"))).alias("first_clear_rank"),
+        F.to_json(F.sort_array(F.collect_list(F.when(score >= CLEAR, F.col("rank"))))).alias("clear_ranks"))
+    return out.withColumn("headroom", F.when(F.col("n_clear") > 0, f"HEADROOM_FOUND_{low}_{last[0]}").otherwise(f"NO_CLEAR_THROUGH_{last[1]}"))
+
 
+def combine_headroom(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two stages as one, for the queries of the first: query_id, stage_a, stage_b, headroom.
 
-def oracle_gain(actual: DataFrame, oracle: DataFrame) -> DataFrame:
-    """Per query: how much the mean score could rise, and what that supports."""
-    joined = actual.select("query_id", F.col("mean_score").alias("actual")).join(oracle.select("query_id", F.col("mean_score").alias("oracle"), "clear_rate"), "query_id")
-    gain = F.col("oracle") - F.col("actual")
-    kind = F.when((F.col("oracle") < 1.5 - EPS) | (F.col("clear_rate") <= EPS), "RETRIEVAL_LIMITED").when(gain >= 0.5, "RERANKER_SUPPORTED").otherwise("MIXED")
-    return joined.withColumns({"gain": gain, "support": kind})
+    The first stage's class stands where it found a clear result and the second stage isn't asked; else the second's does,
+    which is without a clear result where nothing lies that deep.
+    """
+    joined = first.select("query_id", F.col("headroom").alias("stage_a"), F.col("n_clear").alias("_n")).join(second.select("query_id", F.col("headroom").alias("_b")), "query_id", "left")
+    later = F.when(F.col("_n") > 0, "NOT_RUN_STAGE_A_ALREADY_RESOLVED").otherwise(F.coalesce("_b", F.lit("NO_CLEAR_THROUGH_FULL_UNION")))
+    return joined.withColumn("stage_b", later).select("query_id", "stage_a", "stage_b", F.when(F.col("_n") > 0, F.col("stage_a")).otherwise(F.col("stage_b")).alias("headroom"))
+
+
+def oracle_support(actual: DataFrame, oracle: DataFrame, gates: DataFrame, deep_rows: DataFrame) -> DataFrame:
+    """What a perfect reranking of the retrieved pool could reach: one row.
+
+    ``actual`` and ``oracle`` are the macro metrics of the two lists, ``gates`` the oracle's release gates, ``deep_rows`` the oracle's
+    rows from below the shown list. All gates met: RERANKER_SUPPORTED; any metric changed or any deep row: MIXED; else
+    RETRIEVAL_LIMITED.
+    """
+    names = [m if m != "catastrophic" else "catastrophic_rate" for m in METRICS]
+    both = actual.select(*[F.col(m).alias(f"_{m}") for m in names]).join(oracle.select(*names))  # one row each
+    met = gates.agg(F.bool_and("passed").alias("all_met"), F.count_if(F.col("passed")).alias("gates_met"))
+    deep = deep_rows.agg(F.count(F.lit(1)).alias("deep_rows"), F.count_distinct("query_id").alias("deep_queries"))
+    row = both.join(met).join(deep).withColumns({f"{m}_gain": F.col(m) - F.col(f"_{m}") for m in names})
+    changed = (F.greatest(*[F.abs(F.col(f"{m}_gain")) for m in names]) > 1e-15) | (F.col("deep_rows") > 0)
+    kind = F.when(F.col("all_met"), "RERANKER_SUPPORTED").when(changed, "MIXED").otherwise("RETRIEVAL_LIMITED")
+    return row.select(kind.alias("support"), "gates_met", "deep_rows", "deep_queries", *[f"{m}_gain" for m in names])
 
 
 def sensitivity(judged: DataFrame, unresolved: DataFrame, classify, values: range = range(5)) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import sentence_parts, word_count
+from rankloom.operators.ordering import running_total, value_buckets
 
 TONES = {"happy": "joy", "surprising": "surprise", "angry": "anger", "suspenseful": "fear", "sad": "sadness"}
 
@@ -105,7 +106,7 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rank correlation of every pair of columns over the rows where both have values: a, b, rho.
 
     Average ranks come from counts by value, not from an ordered pass over all rows: each pair is aggregated by value, and
-    ranks are running sums over the distinct values only.
+    ranks are running sums over the distinct values only, in buckets that follow the order.
     """
     out = None
     for i, a in enumerate(columns):
@@ -115,7 +116,8 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
             ranked = cells
             for c in ("x", "y"):
                 totals = both.groupBy(c).agg(F.count(F.lit(1)).alias("m"))
-                ranks = totals.withColumn(f"r{c}", F.sum("m").over(Window.orderBy(c)) - (F.col("m") - 1) / 2).drop("m")
+                sums = running_total(totals, value_buckets(totals, c), [F.col(c)], F.col("m"), "_upto")
+                ranks = sums.withColumn(f"r{c}", F.col("_upto") - (F.col("m") - 1) / 2).drop("m", "_upto")
                 ranked = ranked.join(ranks, c)
             w, x, y = F.col("n"), F.col("rx"), F.col("ry")
             s = ranked.agg(F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"), F.sum(w * x * y).alias("sxy"))
@@ -126,17 +128,31 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def recommend(found: DataFrame, metadata: DataFrame, category: str | None = "All", tone: str | None = "All", k: int = 16, key: str = "item_id", category_col: str = "category") -> DataFrame:
-    """Metadata of retrieved items (item_id, rank): in rank order, filtered, then sorted by tone.
+    """Metadata of retrieved items (query_id, item_id, rank): in rank order, filtered, then sorted by tone, for each query.
 
     Without a category (``All``) the first k stay, and the tone orders these alone; with one, all matches stay. No category
-    (None) matches nothing. Ties keep rank order.
+    (None) matches nothing. Ties keep rank order. ``place`` is a row's place in its query's list; ``found`` without query_id
+    is one query's.
     """
-    best = found.groupBy(key).agg(F.min("rank").alias("rank"))
-    rows = metadata.join(F.broadcast(best), key)  # at most the retrieval depth
+    group = ["query_id"] if "query_id" in found.columns else []
+    own = Window.partitionBy(*group or [F.lit(1)])  # a query's list: at most the retrieval depth
+    best = found.groupBy(*group, key).agg(F.min("rank").alias("rank"))
+    rows = best.join(metadata, key)
     if category == "All":
-        rows = rows.orderBy("rank", key).limit(k)
+        rows = rows.withColumn("place", F.row_number().over(own.orderBy("rank", key))).where(F.col("place") <= k)
     else:
         rows = rows.where(F.col(category_col) == F.lit(category))
-    if tone and tone.lower() in TONES:
-        return rows.orderBy(F.desc(TONES[tone.lower()]), "rank", key)
-    return rows.orderBy("rank", key)
+    order = [F.desc(TONES[tone.lower()])] if tone and tone.lower() in TONES else []
+    return rows.withColumn("place", F.row_number().over(own.orderBy(*order, "rank", key))).orderBy(*group, "place")
+
+
+def with_default(default: str, *parts: Column) -> Column:
+    """The parts joined; the default where any part is null."""
+    return F.coalesce(F.concat(*parts), F.lit(default))
+
+
+def choices(df: DataFrame, column: str, first: str = "All") -> DataFrame:
+    """What a column can be filtered by: ``first``, then its distinct values in order: place, value."""
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct()
+    ranked = values.withColumn("place", F.row_number().over(Window.orderBy("value")).cast("long"))  # the categories of a menu
+    return df.sparkSession.createDataFrame([(0, first)], "place long, value string").unionByName(ranked.select("place", "value")).orderBy("place")

@@ -115,7 +115,7 @@ def case_scores(facets: DataFrame, key: str = "case_id", caps: DataFrame | None
     value, core, qualifier = level(F.col("support"), SUPPORT), F.col("facet_type") == "core", F.col("facet_type") == "qualifier"
     rows = facets
     if caps is not None:
-        rows = facets.join(F.broadcast(caps), [key, "facet_id"], "left")
+        rows = facets.join(caps, [key, "facet_id"], "left")
     else:
         rows = facets.withColumn("cap", F.lit(None).cast("int"))
     out = rows.groupBy(key).agg(
@@ -188,8 +188,16 @@ def scope_phrase(text: Column) -> Column:
 
 def named_at_collection(facet: Column, text: Column, before: int = 180, after: int = 240) -> Column:
     """Whether the facet's words stand near "collection" or "anthology"."""
-    near = F.regexp_extract_all(F.concat(F.lit(""), scope_phrase(text)), F.lit(rf"((?s).{{0,{before}}}\b(?:collection|anthology)\b.{{0,{after}}})"), 1)
-    return F.exists(near, lambda x: F.contains(x, scope_phrase(facet))) & (scope_phrase(facet) != "")
+    whole, phrase = scope_phrase(text), scope_phrase(facet)
+    # what follows each cue, from the cue on: an empty match for each, so that cues near each other are all seen
+    rests = F.regexp_extract_all(whole, F.lit(r"(?=(\b(?:collection|anthology)\b.*))"), 1)
+
+    def near(rest: Column) -> Column:
+        at = F.length(whole) - F.length(rest)
+        low, high = F.greatest(at - before, F.lit(0)), at + F.length(F.regexp_extract(rest, "^(collection|anthology)", 1)) + after
+        return F.contains(F.substr(whole, low + 1, high - low), phrase)
+
+    return F.exists(rests, near) & (phrase != "")
 
 
 def scope_guard(relation: Column, facet: Column, evidence: Column, whole: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import order_hash
+from rankloom.operators.contracts import require_covered, require_same_ids, require_unique
+from rankloom.operators.ordering import hash_buckets, running_total
 
 
 def fresh(pool: DataFrame, consumed: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,26 +47,79 @@ def hash_negative(pool: DataFrame, exclude: DataFrame, key: str, seed: str, per:
     return left.withColumn("_o", F.row_number().over(w)).where("_o = 1").drop("_o")
 
 
-def slot_sample(ranked: DataFrame, targets: tuple[int, ...] = (2, 10, 30, 70)) -> DataFrame:
+def slot_sample(ranked: DataFrame, targets: tuple[int, ...] = (2, 10, 30, 70), taken: DataFrame | None = None, identity: str | None = None, complete: bool = False) -> DataFrame:
     """For each query and target rank the next eligible item at or after it, none twice within a query.
 
+    ``taken`` (query_id, ``identity``) names works that are used already, whatever their item_id; ``complete`` makes a slot without
+    a candidate an error.
+
     ``ranked`` (query_id, item_id, rank) holds eligible items only. The choice of a slot depends on the one before, which
     an ascending order of targets turns into a maximum: a slot starts at its target or after the last pick.
     """
-    out = None
+    if taken is not None:
+        ranked = ranked.join(taken.where(F.col(identity).isNotNull()).select("query_id", identity).distinct(), ["query_id", identity], "left_anti")
+    out, queries = None, ranked.select("query_id").distinct()
     used = ranked.select("query_id").distinct().withColumn("_last", F.lit(0))
     for target in targets:
         pick = ranked.join(used, "query_id").where((F.col("rank") >= target) & (F.col("rank") > F.col("_last"))).groupBy("query_id").agg(F.min(F.struct("rank", "item_id")).alias("_p"))
         chosen = pick.select("query_id", F.lit(target).alias("target_rank"), F.col("_p.rank").alias("rank"), F.col("_p.item_id").alias("item_id"))
         out = chosen if out is None else out.unionByName(chosen)
         used = used.join(chosen.select("query_id", F.col("rank").alias("_r")), "query_id", "left").select("query_id", F.coalesce("_r", "_last").alias("_last"))
+    if complete:
+        require_covered(queries.crossJoin(F.broadcast(ranked.sparkSession.createDataFrame([(t,) for t in targets], "target_rank int"))), out, ["query_id", "target_rank"])
     return out
 
 
 def blind(pool: DataFrame, key: str, seed: str) -> DataFrame:
     """The pool in a reproducible random order with blind ids; the key stays as the way back."""
-    w = Window.orderBy(order_hash(seed, F.col(key)), key)
-    return pool.withColumn("blind_number", F.row_number().over(w)).withColumn("blind_id", F.concat(F.lit("B"), F.lpad(F.col("blind_number").cast("string"), 6, "0"))).drop("blind_number")
+    hashed = pool.withColumn("_hash", order_hash(seed, F.col(key)))
+    placed = running_total(hashed, hash_buckets(F.col("_hash")), [F.col("_hash"), F.col(key)], F.lit(1), "_place")
+    number = F.col("_place").cast("string")
+    return placed.withColumn("blind_id", F.concat(F.lit("B"), F.lpad(number, 6, "0"))).drop("_hash", "_place")
+
+
+def unblind(labels: DataFrame, key_table: DataFrame, blind_id: str = "blind_id") -> DataFrame:
+    """Labels given under blind ids, with their keys back; both tables must have the same ids, each once."""
+    require_unique(labels, [blind_id])
+    require_unique(key_table, [blind_id])
+    require_same_ids(labels, key_table, [blind_id])
+    return key_table.join(labels, blind_id)
+
+
+def quarantine(scored: DataFrame, held_back: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows that count and, apart, those that ``held_back`` names (null names none)."""
+    apart = F.coalesce(held_back, F.lit(False))
+    return scored.where(~apart), scored.where(apart)
+
+
+def composition_faults(pool: DataFrame, expected: DataFrame, columns: list[str]) -> DataFrame:
+    """Where a pool's counts differ from the expected ones: column, value, expected, found.
+
+    ``expected`` has column, value (as text) and n. All columns are counted in one pass; values on either side alone
+    count 0 on the other.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+    found = pool.select(cells.alias("x")).groupBy("x.column", "x.value").agg(F.count(F.lit(1)).alias("found"))
+    wanted = expected.select("column", "value", F.col("n").cast("long").alias("expected"))
+    joined = wanted.join(found, (wanted["column"].eqNullSafe(found["column"])) & (wanted["value"].eqNullSafe(found["value"])), "full_outer")
+    both = joined.select(F.coalesce(wanted["column"], found["column"]).alias("column"), F.coalesce(wanted["value"], found["value"]).alias("value"), F.coalesce("expected", F.lit(0).cast("long")).alias("expected"), F.coalesce("found", F.lit(0).cast("long")).alias("found"))
+    return both.where("expected <> found")
+
+
+def overlap_report(pool: DataFrame, consumed: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key how many rows of the pool share it with consumed rows: key, overlap. A clean pool has zeros only."""
+    out = None
+    for key in keys:
+        hit = pool.join(consumed.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_semi")
+        row = hit.agg(F.count(F.lit(1)).alias("overlap")).select(F.lit(key).alias("key"), "overlap")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def exclude_ids(pool: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The pool without the named ids; an id that the pool lacks is an error."""
+    require_covered(ids, pool, [key])
+    return pool.join(ids.select(key).distinct(), key, "left_anti")
 
 
 def hash_split(pool: DataFrame, key: str, per: list[str], n: int, seed: str) -> DataFrame:

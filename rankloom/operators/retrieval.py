@@ -14,6 +14,8 @@ from rankloom.operators.contracts import ContractError, require, require_unique
 
 #: Most query vectors that are sent to the executors at a time.
 QUERY_BLOCK = 1024
+#: Most (query, term) rows that are sent to the executors; more are joined by a shuffle.
+TERM_ROWS = 500_000
 
 
 def ranked(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
@@ -21,20 +23,27 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str) -> D
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
-def _scores(ids: list, matrix: np.ndarray, k: int):
+def _scores(ids: np.ndarray, matrix: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The best k of every batch for each query: what can't be among a partition's best isn't shuffled."""
         for batch in batches:
             vectors = batch.column("embedding")
             if not len(batch):
                 continue
+            lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+            if np.any(lengths != matrix.shape[1]):
+                raise ValueError(f"vectors of {lengths.min()} to {lengths.max()} numbers, queries of {matrix.shape[1]}")
             flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            scores = flat.reshape(len(batch), -1) @ matrix.T
+            scores = matrix @ flat.reshape(len(batch), -1).T
             item = batch.column("item_id").to_numpy(zero_copy_only=False)
-            order = np.lexsort((np.broadcast_to(item[:, None], scores.shape), -scores), axis=0)[:k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, len(order))), pa.array(item[order.T.ravel()]), pa.array(np.take_along_axis(scores, order, 0).T.ravel())],
-                ["query_id", "item_id", "dense_score"])
+            # all scores that reach the k-th best, so that ties are broken by the id and not by the partition
+            least = np.partition(scores, -k, axis=1)[:, -k] if k < len(batch) else np.full(len(ids), -np.inf)
+            query, at = np.nonzero(scores >= least[:, None])
+            order = np.lexsort((item[at], -scores[query, at], query))
+            query, at = query[order], at[order]
+            place = np.arange(len(query)) - np.searchsorted(query, query)
+            query, at = query[place < k], at[place < k]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(item[at]), pa.array(scores[query, at])], ["query_id", "item_id", "dense_score"])
 
     return run
 
@@ -64,24 +73,28 @@ def dense_topk(items: DataFrame, queries: DataFrame, k: int = 50, block: int = Q
     return ranked(out, ["query_id"], [F.desc("dense_score"), F.asc("item_id")], "dense_rank").where(F.col("dense_rank") <= k)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(item_id, term, tf, length) from (item_id, terms). Documents without terms have no postings."""
+def postings(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(item_id, term, tf, length) from (item_id, terms), of ``wanted`` terms alone if given. Documents without terms have no postings."""
     sized = docs.select("item_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    if wanted is not None:
+        sized = sized.join(wanted, "term", "left_semi")
     return sized.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """(query_id, item_id, bm25_score) of all pairs that share a term.
 
-    ``docs`` has item_id and terms, ``queries`` query_id and terms; a term repeated in a query counts as often. Only
-    postings of query terms are joined, so documents without one are never scored. Mean length is over all documents.
+    ``docs`` has item_id and terms, ``queries`` query_id and terms; a term repeated in a query counts as often. Terms
+    that no query has go where they are read, by a broadcast of the query terms if they are few enough, so only
+    postings of query terms are shuffled. Mean length is over all documents.
     """
     stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("mean_length"))
     wanted = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
-    hits = postings(docs).join(wanted.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = hits.join(df, "term").join(F.broadcast(stats)).withColumn("part", idf(F.col("n_docs"), F.col("df")) * tf_part(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b))
-    return weighted.join(wanted, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("part") * F.col("weight")).alias("bm25_score"))
+    few = F.broadcast if wanted.limit(TERM_ROWS + 1).count() <= TERM_ROWS else lambda x: x
+    hits = postings(docs, few(wanted.select("term").distinct()))
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each query term at most
+    weighted = hits.join(few(df), "term").join(F.broadcast(stats)).withColumn("part", idf(F.col("n_docs"), F.col("df")) * tf_part(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b))
+    return weighted.join(few(wanted), "term").groupBy("query_id", "item_id").agg(F.sum(F.col("part") * F.col("weight")).alias("bm25_score"))
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 50, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
@@ -128,10 +141,18 @@ def first_ranks(found: DataFrame, metadata: DataFrame, key: str = "item_id", ran
     return metadata.join(best, key).orderBy(rank, key)
 
 
-def display_union(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("a", "b"), key: tuple[str, ...] = ("query_id", "item_id"), rank: str = "rank") -> DataFrame:
-    """The distinct pairs of two result lists with flags and both ranks."""
-    x, y = (d.select(*key, F.col(rank).alias(f"{n}_rank"), F.lit(True).alias(f"in_{n}")) for d, n in zip((a, b), names, strict=True))
+def display_union(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("a", "b"), key: tuple[str, ...] = ("query_id", "item_id"), rank: str = "rank", shared: tuple[str, ...] = ()) -> DataFrame:
+    """The distinct pairs of two result lists with flags and both ranks.
+
+    ``shared`` columns are taken from either list; a pair in both for which they differ is an error when it is read.
+    """
+    x, y = (d.select(*key, F.col(rank).alias(f"{n}_rank"), F.lit(True).alias(f"in_{n}"), *[F.col(c).alias(f"_{n}_{c}") for c in shared]) for d, n in zip((a, b), names, strict=True))
     joined = x.join(y, list(key), "full_outer")
+    for c in shared:
+        one, two = (F.col(f"_{n}_{c}") for n in names)
+        both = F.col(f"in_{names[0]}").isNotNull() & F.col(f"in_{names[1]}").isNotNull()
+        differs = F.raise_error(F.concat_ws(" ", F.lit(f"{c} differs for"), *[F.col(k).cast("string") for k in key]))
+        joined = joined.withColumn(c, F.when(both & ~one.eqNullSafe(two), differs).otherwise(F.coalesce(one, two))).drop(f"_{names[0]}_{c}", f"_{names[1]}_{c}")
     flags = {f"in_{n}": F.coalesce(F.col(f"in_{n}"), F.lit(False)) for n in names}
     source = F.when(F.col(f"in_{names[0]}") & F.col(f"in_{names[1]}"), "both").when(F.col(f"in_{names[0]}"), f"{names[0]}_only").otherwise(f"{names[1]}_only")
     return joined.withColumns(flags).withColumn("pair_source", source)

@@ -11,14 +11,19 @@ from rankloom.operators.contracts import require, require_unique
 
 
 def precedence(sources: list[DataFrame], keys: list[str], score: str = "score") -> DataFrame:
-    """The first source's row of each key, with how many sources have it and how many scores differ from the winner."""
+    """The first source's row of each key, with how many sources have it and how many scores differ from the winner.
+
+    A key that repeats within a source is an error. The scores of a key are gathered: at most one for each source.
+    """
     stacked = reduce(lambda a, b: a.unionByName(b), [s.select(*keys, score).withColumn("source_rank", F.lit(i)) for i, s in enumerate(sources)])
+    require_unique(stacked, [*keys, "source_rank"])
     best = F.min_by(F.col(score), F.col("source_rank"))
-    return stacked.groupBy(*keys).agg(best.alias(score), F.min("source_rank").alias("source_rank"), F.count(F.lit(1)).alias("n_sources"), (F.count_distinct(score) > 1).alias("conflict"))
+    out = stacked.groupBy(*keys).agg(best.alias(score), F.min("source_rank").alias("source_rank"), F.count(F.lit(1)).alias("n_sources"), F.collect_list(score).alias("_all"))
+    return out.withColumn("n_conflicts", F.size(F.filter("_all", lambda x: x != F.col(score))).cast("long")).drop("_all")
 
 
 def conflicts(sources: list[DataFrame], keys: list[str], score: str = "score") -> DataFrame:
-    return precedence(sources, keys, score).where("conflict")
+    return precedence(sources, keys, score).where("n_conflicts > 0")
 
 
 def pending(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,13 +89,19 @@ def cascade_match(left: DataFrame, right: DataFrame, levels: dict[str, list[tupl
     return out.select(F.col("_l").alias(left_key), "strategy", F.coalesce("n", F.lit(0)).alias("n_candidates"), F.when(F.col("n") == 1, F.col("_r")).alias("matched_id"), status.alias("status"))
 
 
-def title_lookup(wanted: DataFrame, catalog: DataFrame, title: str = "title") -> DataFrame:
+def title_lookup(wanted: DataFrame, catalog: DataFrame, title: str = "title", most: int = 1000) -> DataFrame:
     """Wanted titles in a catalogue: equal ignoring case, else literally contained; the smallest id of the better kind.
 
-    ``wanted`` (title) is a short list and sent to every task; the catalogue isn't shuffled before aggregation.
+    Equal titles are joined by value. Only what has none is searched for inside titles, which compares it with every
+    title: more than ``most`` such are an error, and they alone are sent to the tasks.
     """
-    names = F.broadcast(wanted.select(F.col(title).alias("wanted"), F.lower(F.trim(title)).alias("_w")))
-    own = F.lower(F.trim(F.col(title)))
-    hit = catalog.join(names, F.contains(own, F.col("_w"))).withColumn("kind", F.when(own == F.col("_w"), 0).otherwise(1))
-    best = hit.groupBy("wanted").agg(F.min(F.struct("kind", "item_id")).alias("b"))
+    names = wanted.select(F.col(title).alias("wanted"), F.lower(F.trim(title)).alias("_w")).distinct()
+    titles = catalog.select("item_id", F.lower(F.trim(F.col(title))).alias("_t"))
+    exact = names.join(titles, F.col("_w") == F.col("_t")).groupBy("wanted").agg(F.min("item_id").alias("item_id")).withColumn("kind", F.lit(0))
+    rest = names.join(exact, "wanted", "left_anti").limit(most + 1).collect()
+    if len(rest) > most:
+        raise ValueError(f"more than {most} titles to search for")
+    few = F.broadcast(catalog.sparkSession.createDataFrame([tuple(r) for r in rest], "wanted string, _w string"))
+    inside = titles.join(few, F.contains("_t", "_w")).groupBy("wanted").agg(F.min("item_id").alias("item_id")).withColumn("kind", F.lit(1))
+    best = exact.unionByName(inside).select("wanted", F.struct("kind", "item_id").alias("b"))
     return wanted.select(F.col(title).alias("wanted")).join(best, "wanted", "left").select("wanted", "b.item_id", F.when(F.col("b.kind") == 0, "exact").when(F.col("b.kind") == 1, "contains").otherwise("none").alias("match"))

@@ -59,23 +59,44 @@ def stratum_metrics(spark, sf):
     return B.rounded(M.macro(_summary(spark, sf).join(B.strata(spark, sf), "query_id"), ["stratum"]), *_MACRO_NAMES)
 
 
-def _gates_sql(system: str) -> str:
-    rows = " UNION ALL ".join(f"SELECT '{m}' AS metric, '{op}' AS op, {t}::DOUBLE AS threshold, avg({m if m != 'catastrophic_rate' else 'catastrophic'})::DOUBLE AS value FROM s" for m, op, t in M.GATES)
-    return f"(WITH s AS (SELECT * FROM {_summary_sql(system)}), g AS ({rows}) SELECT *, CASE op WHEN '>=' THEN round(value, 12) >= threshold ELSE round(value, 12) <= threshold END AS passed FROM g)"
+#: The release contract as its text states it: metric, comparison, threshold.
+_CONTRACT = """(VALUES ('mean_score', '>=', 2.5::DOUBLE), ('mean_score_lower', '>=', 2.0), ('clear_rate', '>=', 0.6), ('irrelevant_rate', '<=', 0.1),
+  ('hit_at_5', '>=', 0.9), ('top1_clear', '>=', 0.75), ('ndcg', '>=', 0.85), ('catastrophic_rate', '==', 0.0)) AS contract(metric, op, threshold)"""
+
+
+def _lower_sql(source: str) -> str:
+    """The 2.5 % quantile of the resampled means of mean_score."""
+    return f"""(WITH v AS (SELECT mean_score, row_number() OVER (ORDER BY query_id) - 1 AS idx FROM {source}), n AS (SELECT count(*) AS n FROM v),
+      k AS (SELECT rep, {S.draws_sql(S.SEED, 'rep', 'slot', 'n')} AS idx FROM n, (SELECT unnest(range(0, {S.REPLICATES})) AS rep), (SELECT unnest(range(0, (SELECT n FROM n))) AS slot))
+      SELECT quantile_cont(m, 0.025) FROM (SELECT avg(mean_score) AS m FROM k JOIN v USING (idx) GROUP BY rep))"""
+
+
+def _gates_sql(summary: str) -> str:
+    return f"""(WITH s AS (SELECT * FROM {summary}),
+      m AS (SELECT avg(mean_score) AS mean_score, {_lower_sql('s')} AS mean_score_lower, avg(clear_rate) AS clear_rate, avg(irrelevant_rate) AS irrelevant_rate, avg(hit_at_5) AS hit_at_5,
+            avg(top1_clear) AS top1_clear, avg(ndcg) AS ndcg, avg(catastrophic) AS catastrophic_rate FROM s),
+      l AS (UNPIVOT m ON COLUMNS(*) INTO NAME metric VALUE value)
+      SELECT metric, op, threshold, value, CASE op WHEN '>=' THEN value >= threshold WHEN '<=' THEN value <= threshold ELSE value = threshold END AS passed FROM l JOIN {_CONTRACT} USING (metric))"""
+
+
+def _release(summary):
+    """The gates of a table of query metrics, the interval's lower end included."""
+    lower = S.bootstrap_ci(summary, ["mean_score"]).select(F.col("lo").alias("mean_score_lower"))
+    return M.release_gates(M.macro(summary).join(lower))  # one row each
 
 
 def _gates(spark, sf, system):
-    return M.release_gates(M.macro(_summary(spark, sf, system)))
+    return _release(_summary(spark, sf, system))
 
 
-@register("release_gates", f"SELECT metric, op, threshold, round(value, 9) AS value, passed FROM {_gates_sql('a')}")
+@register("release_gates", f"SELECT metric, op, threshold, round(value, 9) AS value, passed FROM {_gates_sql(_summary_sql('a'))}")
 def release_gates(spark, sf):
     return B.rounded(_gates(spark, sf, "a").select("metric", "op", "threshold", "value", "passed"), "value")
 
 
 @register("release_decision", f"""
-SELECT failed, CASE WHEN failed = 0 THEN 'PASS' WHEN failed <= 2 AND cat = 0 THEN 'REVIEW' ELSE 'FAIL' END AS decision
-FROM (SELECT count(*) FILTER (NOT passed) AS failed, count(*) FILTER (NOT passed AND metric = 'catastrophic_rate') AS cat FROM {_gates_sql('a')})""")
+SELECT failed, CASE WHEN failed = 0 THEN 'PASS' WHEN failed <= 2 AND rate = 0 THEN 'REVIEW' ELSE 'FAIL' END AS decision
+FROM (SELECT count(*) FILTER (NOT passed) AS failed, max(value) FILTER (metric = 'catastrophic_rate') AS rate FROM {_gates_sql(_summary_sql('a'))})""")
 def release_decision(spark, sf):
     return M.decision(_gates(spark, sf, "a"))
 
@@ -83,7 +104,7 @@ def release_decision(spark, sf):
 @register("gate_transitions", f"""
 SELECT metric, CASE WHEN a.passed THEN 'PASS' ELSE 'FAIL' END AS before, CASE WHEN b.passed THEN 'PASS' ELSE 'FAIL' END AS after,
        concat(CASE WHEN a.passed THEN 'PASS' ELSE 'FAIL' END, '->', CASE WHEN b.passed THEN 'PASS' ELSE 'FAIL' END) AS transition
-FROM {_gates_sql('a')} a JOIN {_gates_sql('b')} b USING (metric)""")
+FROM {_gates_sql(_summary_sql('a'))} a JOIN {_gates_sql(_summary_sql('b'))} b USING (metric)""")
 def gate_transitions(spark, sf):
     return M.gate_transitions(_gates(spark, sf, "a"), _gates(spark, sf, "b"))
 
@@ -99,61 +120,39 @@ def worst_queries(spark, sf):
     return B.rounded(M.worst_queries(_summary(spark, sf)).select("query_id", "mean_score"), "mean_score")
 
 
-# ------------------------------------------------ statistics; a query is a part's brand here, so that replicates stay cheap
-
-
-def _brand_sql(system: str) -> str:
-    return f"(SELECT p_brand AS query_id, avg(mean_score) AS mean_score, avg(clear_rate) AS clear_rate, avg(ndcg) AS ndcg, avg(irrelevant_rate) AS irrelevant_rate FROM {_summary_sql(system)} JOIN part ON p_partkey = query_id GROUP BY p_brand)"
+# ------------------------------------------------ statistics
 
 
 _BOOT = ["mean_score", "clear_rate", "ndcg"]
 
 
-def _brands(spark, sf, system):
-    joined = _summary(spark, sf, system).join(B.strata(spark, sf), "query_id")
-    return joined.groupBy(F.col("stratum").alias("query_id")).agg(*[F.avg(m).alias(m) for m in [*_BOOT, "irrelevant_rate"]])
-
-
-def _bootstrap_sql(values: str, reps: int) -> str:
-    long = " UNION ALL ".join(f"SELECT '{m}' AS metric, rep, {m} AS value FROM r" for m in _BOOT)
-    actual = " UNION ALL ".join(f"SELECT '{m}' AS metric, avg({m}) AS mean FROM v" for m in _BOOT)
+def _bootstrap_sql(values: str, names=tuple(_BOOT)) -> str:
+    long = " UNION ALL ".join(f"SELECT '{m}' AS metric, rep, {m} AS value FROM r" for m in names)
+    actual = " UNION ALL ".join(f"SELECT '{m}' AS metric, avg({m}) AS mean FROM v" for m in names)
     return f"""
 WITH v AS (SELECT *, row_number() OVER (ORDER BY query_id) - 1 AS idx FROM {values}),
   n AS (SELECT count(*) AS n FROM v),
-  k AS (SELECT rep, slot, ('0x' || substr(md5(concat('{S.SEED}', ':', rep, ':', slot)), 1, 8))::BIGINT % n AS idx FROM n, (SELECT unnest(range(0, {reps})) AS rep), (SELECT unnest(range(0, (SELECT n FROM n))) AS slot)),
-  r AS (SELECT rep, {', '.join(f'avg({m}) AS {m}' for m in _BOOT)} FROM k JOIN v USING (idx) GROUP BY rep),
+  k AS (SELECT rep, {S.draws_sql(S.SEED, 'rep', 'slot', 'n')} AS idx FROM n, (SELECT unnest(range(0, {S.REPLICATES})) AS rep), (SELECT unnest(range(0, (SELECT n FROM n))) AS slot)),
+  r AS (SELECT rep, {', '.join(f'avg({m}) AS {m}' for m in names)} FROM k JOIN v USING (idx) GROUP BY rep),
   l AS ({long}), a AS ({actual})
-SELECT metric, round(any_value(mean), 9)::DOUBLE AS mean, round(stddev_samp(value), 9) AS se, round(quantile_cont(value, 0.025), 9) AS lo, round(quantile_cont(value, 0.975), 9) AS hi
+SELECT metric, round(any_value(mean), 9)::DOUBLE AS mean, round(stddev_samp(value), 9) AS se, round(quantile_cont(value, 0.025), 9) AS lo, round(quantile_cont(value, 0.975), 9) AS hi, round(avg(value), 9) AS boot_mean
 FROM l JOIN a USING (metric) GROUP BY metric"""
 
 
-@register("bootstrap_ci", _bootstrap_sql(_brand_sql("a"), 400))
-def bootstrap_ci(spark, sf):
-    return B.rounded(S.bootstrap_ci(_brands(spark, sf, "a"), _BOOT, replicates=400), "mean", "se", "lo", "hi")
-
-
-_DELTA_SQL = f"(SELECT query_id, {', '.join(f'b.{m} - a.{m} AS {m}' for m in _BOOT)} FROM {_brand_sql('a')} a JOIN {_brand_sql('b')} b USING (query_id))"
-
-
-@register("paired_delta", _bootstrap_sql(_DELTA_SQL, 400))
-def paired_delta(spark, sf):
-    return B.rounded(S.paired_bootstrap(_brands(spark, sf, "a"), _brands(spark, sf, "b"), _BOOT, replicates=400), "mean", "se", "lo", "hi")
-
-
-# the same over the queries themselves with all replicates, the reference's job; the two above keep the brands of their SQL
+_BOUNDS = ("mean", "se", "lo", "hi", "boot_mean")
 
 
-@register("bootstrap_ci_queries", _bootstrap_sql(_summary_sql("a"), S.REPLICATES))
-def bootstrap_ci_queries(spark, sf):
-    return B.rounded(S.bootstrap_ci(_summary(spark, sf, "a"), _BOOT), "mean", "se", "lo", "hi")
+@register("bootstrap_ci", _bootstrap_sql(_summary_sql("a")))
+def bootstrap_ci(spark, sf):
+    return B.rounded(S.bootstrap_ci(_summary(spark, sf, "a"), _BOOT), *_BOUNDS)
 
 
-_QUERY_DELTA_SQL = f"(SELECT query_id, {', '.join(f'b.{m} - a.{m} AS {m}' for m in _BOOT)} FROM {_summary_sql('a')} a JOIN {_summary_sql('b')} b USING (query_id))"
+_DELTA_SQL = f"(SELECT query_id, {', '.join(f'b.{m} - a.{m} AS {m}' for m in _BOOT)} FROM {_summary_sql('a')} a JOIN {_summary_sql('b')} b USING (query_id))"
 
 
-@register("paired_delta_queries", _bootstrap_sql(_QUERY_DELTA_SQL, S.REPLICATES))
-def paired_delta_queries(spark, sf):
-    return B.rounded(S.paired_bootstrap(_summary(spark, sf, "a"), _summary(spark, sf, "b"), _BOOT), "mean", "se", "lo", "hi")
+@register("paired_delta", _bootstrap_sql(_DELTA_SQL))
+def paired_delta(spark, sf):
+    return B.rounded(S.paired_bootstrap(_summary(spark, sf, "a"), _summary(spark, sf, "b"), _BOOT), *_BOUNDS)
 
 
 _WTL = ["mean_score", "irrelevant_rate"]
@@ -195,10 +194,15 @@ def factorial_contrast(spark, sf):
     return B.rounded(S.contrasts(_factorial(spark, sf), pairs, interaction=("RK", "K", "R", "B")), *pairs, "interaction")
 
 
+@register("interaction_ci", _bootstrap_sql(f"(SELECT query_id, max(value) FILTER (system = 'RK') - max(value) FILTER (system = 'K') - max(value) FILTER (system = 'R') + max(value) FILTER (system = 'B') AS interaction FROM {_FACTORIAL} GROUP BY query_id)", ("interaction",)))
+def interaction_ci(spark, sf):
+    return B.rounded(S.bootstrap_ci(S.contrasts(_factorial(spark, sf), {}, interaction=("RK", "K", "R", "B")), ["interaction"]), *_BOUNDS)
+
+
 @register("select_candidate", f"""
 SELECT system, round(mean_score, 9)::DOUBLE AS mean_score, round(catastrophic, 9)::DOUBLE AS catastrophic FROM (
   {' UNION ALL '.join(f"SELECT '{n}' AS system, avg(mean_score) AS mean_score, avg(catastrophic) AS catastrophic FROM {_summary_sql(*x)}" for n, x in _SYSTEMS.items())})
-ORDER BY round(mean_score, 12) DESC, round(catastrophic, 12), system = 'B' DESC, system LIMIT 1""")
+QUALIFY rank() OVER (ORDER BY mean_score DESC, catastrophic, system = 'B' DESC) = 1""")
 def select_candidate(spark, sf):
     rows = None
     for name, (system, depth) in _SYSTEMS.items():
@@ -215,8 +219,8 @@ def median_latency(spark, sf):
 # ------------------------------------------------ agreement
 
 _AGREE = """count(*) AS n, round(avg((judge = human)::INT), 9)::DOUBLE AS exact, round(avg((abs(judge - human) <= 1)::INT), 9)::DOUBLE AS within_one, round(avg(abs(judge - human)), 9)::DOUBLE AS mae,
-  round(avg(judge - human), 9)::DOUBLE AS bias, count(*) FILTER (abs(judge - human) >= 2) AS severe, count(*) FILTER (judge > human) AS over, count(*) FILTER (judge < human) AS under,
-  count(*) FILTER (judge = 0 AND human > 0) AS false_zero, count(*) FILTER (judge >= 3 AND human < 3) AS false_positive"""
+  round(avg(judge - human), 9)::DOUBLE AS bias, count(*) FILTER (abs(judge - human) >= 2) AS severe, count(*) FILTER (judge - human >= 2) AS over, count(*) FILTER (judge - human <= -2) AS under,
+  count(*) FILTER (judge = 0 AND human > 0) AS false_zero, count(*) FILTER (human = 0 AND judge > 0) AS false_positive"""
 
 
 @register("agreement", f"SELECT {_AGREE} FROM {B.PAIRS_SQL}")
@@ -235,7 +239,7 @@ def agreement_by_human(spark, sf):
     return B.rounded(A.agreement(B.annotated(spark, sf), by=["human"]), "exact", "within_one", "mae", "bias")
 
 
-@register("confusion", f"SELECT human, {', '.join(f'count(*) FILTER (judge = {s}) AS judge_{s}' for s in range(5))} FROM {B.PAIRS_SQL} GROUP BY human")
+@register("confusion", f"SELECT h.human, {', '.join(f'count(*) FILTER (judge = {s}) AS judge_{s}' for s in range(5))} FROM (SELECT unnest([0, 1, 2, 3, 4]) AS human) h LEFT JOIN {B.PAIRS_SQL} p USING (human) GROUP BY h.human")
 def confusion(spark, sf):
     return A.confusion(B.annotated(spark, sf))
 
@@ -294,10 +298,16 @@ def expectation_check(spark, sf):
 _DEEP = 50
 
 
+_BUCKETS = ((1, 10), (11, 50), (1, 50))
+
+
 @register("depth_profile", f"""
-SELECT query_id, {', '.join(f'count(*) FILTER (score >= {s} AND rank <= {d}) AS {n}_at_{d}' for d in (5, 10, 20, 50) for s, n in ((3, 'clear'), (2, 'partial')))},
-  {', '.join(f'max(score) FILTER (rank BETWEEN {a} AND {b}) AS best_{a}_{b}' for a, b in ((1, 10), (11, 20), (21, 50)))},
-  min(rank) FILTER (score >= 3) AS first_clear_rank, coalesce(string_agg(rank::VARCHAR, ',' ORDER BY rank) FILTER (score >= 3), '') AS clear_ranks
+SELECT query_id, {', '.join(f'min(rank) FILTER (score >= {s}) AS first_{n}_rank' for s, n in ((3, 'clear'), (4, 'strong')))},
+  {', '.join(f'max(score) FILTER (rank BETWEEN {a} AND {b}) AS best_{a}_{b}' for a, b in _BUCKETS)},
+  {', '.join(f'count(*) FILTER (score >= {s} AND rank > 10) AS {n}_11_50' for s, n in ((3, 'clear'), (2, 'partial')))},
+  {', '.join(f"coalesce(string_agg(rank::VARCHAR, ',' ORDER BY rank) FILTER (score >= {s} AND rank > 10), '') AS {n}_ranks" for s, n in ((3, 'clear'), (2, 'partial')))},
+  {', '.join(f'count(*) FILTER (score >= {s} AND rank <= {d}) AS {n}_at_{d}' for d in (5, 10, 20, 50) for s, n in ((3, 'clear'), (2, 'partial')))},
+  {', '.join(f'count(*) FILTER (score = {s} AND rank BETWEEN {a} AND {b}) AS ranks_{a}_{b}_score_{s}' for a, b in _BUCKETS for s in range(5))}
 FROM {B.graded_sql('a', _DEEP)} GROUP BY query_id""")
 def depth_profile(spark, sf):
     return D.depth_profile(B.graded(spark, sf, "a", _DEEP))
@@ -323,18 +333,51 @@ def limitation_class(spark, sf):
     return D.limitation_class(M.query_summary(_oracle(spark, sf))).select("query_id", "limitation")
 
 
-@register("headroom_class", f"""
-SELECT query_id, f AS first_clear_rank, CASE WHEN f IS NULL THEN 'NO_CLEAR' WHEN f <= 20 THEN 'HEADROOM_FOUND_4_20' ELSE 'HEADROOM_FOUND_AFTER_20' END AS headroom
-FROM (SELECT query_id, min(rank) FILTER (score >= 3) AS f FROM {B.graded_sql('a', _DEEP)} GROUP BY query_id) WHERE f > 3 OR f IS NULL""")
+_NO_CLEAR = f"(SELECT query_id FROM {B.graded_sql('a', _DEEP)} GROUP BY query_id HAVING count(*) FILTER (score >= 3 AND rank <= 3) = 0)"
+
+
+def _stage_sql(low: int, high: int | None) -> str:
+    """Stage A and B over the queries without a clear result in the first three ranks."""
+    end, through = ("END", "FULL_UNION") if high is None else (high, high)
+    return f"""(SELECT query_id, count(*) AS n_candidates, max(score) AS best_score, count(*) FILTER (score >= 3) AS n_clear, count(*) FILTER (score = 2) AS n_partial, count(*) FILTER (score = 1) AS n_incidental,
+      count(*) FILTER (score = 0) AS n_irrelevant, min(rank) FILTER (score >= 3) AS first_clear_rank, '[' || coalesce(string_agg(rank::VARCHAR, ',' ORDER BY rank) FILTER (score >= 3), '') || ']' AS clear_ranks,
+      CASE WHEN count(*) FILTER (score >= 3) > 0 THEN 'HEADROOM_FOUND_{low}_{end}' ELSE 'NO_CLEAR_THROUGH_{through}' END AS headroom
+      FROM {B.graded_sql('a', _DEEP)} JOIN {_NO_CLEAR} USING (query_id) WHERE rank >= {low}{'' if high is None else f' AND rank <= {high}'} GROUP BY query_id)"""
+
+
+def _stage(spark, sf, low, high):
+    judged = B.graded(spark, sf, "a", _DEEP)
+    return D.headroom(judged.join(D.unclear(judged, 3), "query_id"), low, high)
+
+
+@register("headroom_class", f"SELECT * FROM {_stage_sql(4, 20)}")
 def headroom_class(spark, sf):
-    return D.headroom(B.graded(spark, sf, "a", _DEEP), 3, 20).select("query_id", "first_clear_rank", "headroom")
+    return _stage(spark, sf, 4, 20)
+
+
+@register("headroom_stages", f"""
+SELECT query_id, a.headroom AS stage_a, CASE WHEN a.n_clear > 0 THEN 'NOT_RUN_STAGE_A_ALREADY_RESOLVED' ELSE coalesce(b.headroom, 'NO_CLEAR_THROUGH_FULL_UNION') END AS stage_b,
+  CASE WHEN a.n_clear > 0 THEN a.headroom ELSE coalesce(b.headroom, 'NO_CLEAR_THROUGH_FULL_UNION') END AS headroom
+FROM {_stage_sql(4, 20)} a LEFT JOIN {_stage_sql(21, None)} b USING (query_id)""")
+def headroom_stages(spark, sf):
+    return D.combine_headroom(_stage(spark, sf, 4, 20), _stage(spark, sf, 21, None))
+
+
+_GAINED = ["mean_score", "clear_rate", "irrelevant_rate", "hit_at_5", "top1_clear", "mrr", "ndcg", "catastrophic_rate"]
 
 
 @register("oracle_gain", f"""
-SELECT query_id, round(o.mean_score - a.mean_score, 9)::DOUBLE AS gain, CASE WHEN o.mean_score < 1.5 - 1e-9 OR o.clear_rate <= 1e-9 THEN 'RETRIEVAL_LIMITED' WHEN o.mean_score - a.mean_score >= 0.5 THEN 'RERANKER_SUPPORTED' ELSE 'MIXED' END AS support
-FROM {_summary_sql('a')} a JOIN {_summary_sql('a', 10, _ORACLE)} o USING (query_id)""")
+WITH s AS (SELECT * FROM {_summary_sql('a')}), o AS (SELECT * FROM {_summary_sql('a', 10, _ORACLE)}), g AS (SELECT * FROM {_gates_sql('o')}),
+  d AS (SELECT {', '.join(f"(SELECT avg({m.replace('catastrophic_rate', 'catastrophic')}) FROM o) - (SELECT avg({m.replace('catastrophic_rate', 'catastrophic')}) FROM s) AS {m}_gain" for m in _GAINED)}),
+  k AS (SELECT count(*) AS deep_rows, count(DISTINCT query_id) AS deep_queries FROM (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, item_id) AS o FROM {B.graded_sql('a', _DEEP)}) WHERE o <= 10 AND rank > 10)
+SELECT CASE WHEN (SELECT bool_and(passed) FROM g) THEN 'RERANKER_SUPPORTED' WHEN {' OR '.join(f'abs({m}_gain) > 1e-15' for m in _GAINED)} OR deep_rows > 0 THEN 'MIXED' ELSE 'RETRIEVAL_LIMITED' END AS support,
+  (SELECT count(*) FROM g WHERE passed) AS gates_met, deep_rows, deep_queries, {', '.join(f'round({m}_gain, 9) + 0.0 AS {m}_gain' for m in _GAINED)}
+FROM d, k""")
 def oracle_gain(spark, sf):
-    return B.rounded(D.oracle_gain(_summary(spark, sf), M.query_summary(_oracle(spark, sf))).select("query_id", "gain", "support"), "gain")
+    pool = D.oracle_topk(B.graded(spark, sf, "a", _DEEP))
+    oracle = M.query_summary(pool.drop("rank").withColumnRenamed("oracle_rank", "rank"))
+    found = D.oracle_support(M.macro(_summary(spark, sf)), M.macro(oracle), _release(oracle), pool.where("rank > 10"))
+    return B.rounded(found, *[f"{m}_gain" for m in _GAINED])
 
 
 @register("sensitivity", f"""

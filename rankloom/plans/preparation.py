@@ -119,7 +119,7 @@ def spans(spark, sf):
     return _docs(spark, sf).select("doc_id", F.posexplode(X.spans(F.col("text"))).alias("place", "s")).select("doc_id", "place", "s.span_id", "s.text")
 
 
-@register("identifiers", "SELECT doc_id, 'V4H_' || lang || '_' || doc_id AS case_id, lang || '_VR' || lpad((doc_id % 100)::VARCHAR, 2, '0') AS padded, doc_id AS canonical, replace(source, 'src', '')::BIGINT AS natural_number, sha256('seed|' || doc_id) AS order_hash FROM documents")
+@register("identifiers", "SELECT doc_id, 'V4H_' || lang || '_' || doc_id AS case_id, lang || '_VR' || lpad((doc_id % 100)::VARCHAR, 2, '0') AS padded, doc_id AS canonical, coalesce(try_cast(regexp_replace(source, '[^0-9]', '', 'g') AS BIGINT), 1000000000) AS natural_number, sha256('seed|' || doc_id) AS order_hash FROM documents")
 def identifiers(spark, sf):
     d = _docs(spark, sf)
     return d.select(
@@ -147,18 +147,18 @@ def grade_names(spark, sf):
 
 # ------------------------------------------------ reuse of scores
 
-_SOURCE = "(SELECT l_partkey AS query_id, l_suppkey AS item_id, CAST(floor(max(l_quantity)) AS INT) % 5 AS score, min(l_orderkey) AS o FROM lineitem WHERE l_linenumber = {0} GROUP BY l_partkey, l_suppkey)"
+_SOURCE = "(SELECT l_partkey AS query_id, l_suppkey AS item_id, CAST(floor(max(l_quantity)) AS INT) % 5 AS score, min(l_orderkey) AS o FROM lineitem WHERE least(l_linenumber, 3) = {0} GROUP BY l_partkey, l_suppkey)"
 
 
 def _source(spark, sf, line):
-    rows = B.table(spark, sf, "lineitem").where(F.col("l_linenumber") == line)
+    rows = B.table(spark, sf, "lineitem").where(F.least("l_linenumber", F.lit(3)) == line)  # every line is in one of three sources
     return rows.groupBy(F.col("l_partkey").alias("query_id"), F.col("l_suppkey").alias("item_id")).agg((F.floor(F.max("l_quantity")).cast("int") % 5).alias("score"), F.min("l_orderkey").alias("o"))
 
 
 _STACK = " UNION ALL ".join(f"SELECT query_id, item_id, score, {i} AS r FROM {_SOURCE.format(i + 1)}" for i in range(3))
 
 
-@register("score_precedence", f"SELECT query_id, item_id, arg_min(score, r) AS score, min(r) AS source_rank, count(*) AS n_sources, count(DISTINCT score) > 1 AS conflict FROM ({_STACK}) GROUP BY query_id, item_id")
+@register("score_precedence", f"SELECT query_id, item_id, arg_min(score, r) AS score, min(r) AS source_rank, count(*) AS n_sources, (count(*) - count(*) FILTER (score = best))::BIGINT AS n_conflicts FROM (SELECT *, first_value(score) OVER (PARTITION BY query_id, item_id ORDER BY r) AS best FROM ({_STACK})) GROUP BY query_id, item_id")
 def score_precedence(spark, sf):
     return U.precedence([_source(spark, sf, i) for i in (1, 2, 3)], ["query_id", "item_id"])
 
@@ -259,17 +259,25 @@ def hash_negative(spark, sf):
     return P.hash_negative(pool, pool.join(B.table(spark, sf, "labels").select("doc_id"), "doc_id"), "doc_id", "neg", ["lang"])
 
 
-_ELIGIBLE = f"(SELECT * FROM {B.graded_sql('a', 30)} WHERE item_id % 3 <> 0)"
+# eligible are the items of orders that no urgent one has used up; lists of full depth
+_TARGETS = (2, 10, 30, 70)
+_ELIGIBLE = f"(SELECT * FROM {B.graded_sql('a', 1000)} WHERE item_id // 10 NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'))"
 
 
-@register("slot_sample", f"""
-WITH e AS (SELECT * FROM {_ELIGIBLE}), s1 AS (SELECT query_id, min(rank) AS r FROM e WHERE rank >= 2 GROUP BY query_id),
-  s2 AS (SELECT query_id, min(rank) AS r FROM e JOIN (SELECT query_id, coalesce(s1.r, 0) AS last FROM (SELECT DISTINCT query_id FROM e) LEFT JOIN s1 USING (query_id)) USING (query_id) WHERE rank >= 4 AND rank > last GROUP BY query_id),
-  s3 AS (SELECT query_id, min(rank) AS r FROM e JOIN (SELECT query_id, coalesce(s2.r, s1.r, 0) AS last FROM (SELECT DISTINCT query_id FROM e) LEFT JOIN s1 USING (query_id) LEFT JOIN s2 USING (query_id)) USING (query_id) WHERE rank >= 10 AND rank > last GROUP BY query_id)
-SELECT query_id, target_rank, r AS rank, item_id FROM (SELECT *, 2 AS target_rank FROM s1 UNION ALL SELECT *, 4 FROM s2 UNION ALL SELECT *, 10 FROM s3) s JOIN e ON e.query_id = s.query_id AND e.rank = s.r""".replace("SELECT query_id, target_rank, r AS rank, item_id", "SELECT s.query_id, target_rank, r AS rank, item_id"))
+def _slots_sql() -> str:
+    out, parts, last = f"e AS (SELECT * FROM {_ELIGIBLE})", [], "0"
+    for i, target in enumerate(_TARGETS):
+        before = " UNION ALL ".join(f"SELECT query_id, r FROM s{j}" for j in range(i)) or "SELECT 0 AS query_id, 0 AS r WHERE false"
+        out += f", s{i} AS (SELECT query_id, min(rank) AS r FROM e LEFT JOIN (SELECT query_id, max(r) AS last FROM ({before}) GROUP BY query_id) USING (query_id) WHERE rank >= {target} AND rank > coalesce(last, {last}) GROUP BY query_id)"
+        parts.append(f"SELECT query_id, {target} AS target_rank, r AS rank FROM s{i}")
+    return f"WITH {out} SELECT query_id, target_rank, rank, item_id FROM ({' UNION ALL '.join(parts)}) JOIN e USING (query_id, rank)"
+
+
+@register("slot_sample", _slots_sql())
 def slot_sample(spark, sf):
-    eligible = B.graded(spark, sf, "a", 30).where("item_id % 3 <> 0")
-    return P.slot_sample(eligible, (2, 4, 10))
+    ranked = B.graded(spark, sf, "a", 1000).withColumn("work", F.floor(F.col("item_id") / 10))
+    used = B.table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("work"))
+    return P.slot_sample(ranked.join(used, "work", "left_anti"), _TARGETS).select("query_id", "target_rank", "rank", "item_id")
 
 
 @register("blind_order", f"SELECT item_id, 'B' || lpad((row_number() OVER (ORDER BY {_HASH.format('blind', 'item_id')}, item_id))::VARCHAR, 6, '0') AS blind_id FROM benchmark")

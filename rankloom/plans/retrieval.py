@@ -35,23 +35,22 @@ def _metadata(spark, sf):
 
 
 def _found(spark, sf):
-    """What the vector 0 retrieves."""
-    first = B.table(spark, sf, "embeddings").where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return R.dense_topk(B.items(spark, sf), first).select("item_id", F.col("dense_rank").alias("rank"))
+    return _dense(spark, sf).select("query_id", "item_id", F.col("dense_rank").alias("rank"))
 
 
 @register("recommend_filtered", f"""
-SELECT m.item_id, category, source, n_chars, round(joy, 9) AS joy, dense_rank AS rank
-FROM {B.DENSE_SQL} d JOIN {_META} m USING (item_id) WHERE query_id = 0 AND category = 'en'""")
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY joy DESC, dense_rank, item_id) AS place, m.item_id, category, source, n_chars, round(joy, 9) AS joy, dense_rank AS rank
+FROM {B.DENSE_SQL} d JOIN {_META} m USING (item_id) WHERE category = 'en'""")
 def recommend_filtered(spark, sf):
     out = etl.recommend(_found(spark, sf), _metadata(spark, sf), category="en", tone="happy")
-    return B.rounded(out.select("item_id", "category", "source", "n_chars", "joy", F.col("rank").cast("long").alias("rank")), "joy")
+    return B.rounded(out.select("query_id", "place", "item_id", "category", "source", "n_chars", "joy", F.col("rank").cast("long").alias("rank")), "joy")
 
 
 @register("recommend_all", f"""
-SELECT item_id, round(joy, 9) AS joy, dense_rank AS rank FROM {B.DENSE_SQL} JOIN {_META} m USING (item_id) WHERE query_id = 0 ORDER BY dense_rank LIMIT 16""")
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY joy DESC, dense_rank, item_id) AS place, item_id, round(joy, 9) AS joy, dense_rank AS rank
+FROM (SELECT * FROM {B.DENSE_SQL} JOIN {_META} m USING (item_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dense_rank, item_id) <= 16)""")
 def recommend_all(spark, sf):
-    return B.rounded(etl.recommend(_found(spark, sf), _metadata(spark, sf), tone="happy").select("item_id", "joy", F.col("rank").cast("long").alias("rank")), "joy")
+    return B.rounded(etl.recommend(_found(spark, sf), _metadata(spark, sf), tone="happy").select("query_id", "place", "item_id", "joy", F.col("rank").cast("long").alias("rank")), "joy")
 
 
 @register("tokenize_counts", f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 from collections.abc import Sequence
 
@@ -67,18 +68,22 @@ def read_facets(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("query_id", "facet_id", "facet_pos", "facet_type", "facet_text", F.col("c.component_id").alias("component_id"), "spec_pos")
 
 
+#: What a byte that isn't UTF-8 stands for: its Windows-1252 character, U+FFFD where there is none.
+_STRAY = bytes(range(256)).decode("cp1252", "replace")
+
+
+def _stray_byte(fault: UnicodeError) -> tuple[str, int]:
+    if not isinstance(fault, UnicodeDecodeError):
+        raise fault
+    return _STRAY[fault.object[fault.start]], fault.start + 1
+
+
+codecs.register_error("rankloom.stray_byte", _stray_byte)
+
+
 def decode_mixed(raw: bytes) -> str:
-    """UTF-8 with single bytes of Windows-1252 in between; bytes that are in neither become U+FFFD."""
-    out, at = [], 0
-    while at < len(raw):
-        try:
-            out.append(raw[at:].decode())
-            break
-        except UnicodeDecodeError as bad:
-            out.append(raw[at : at + bad.start].decode())
-            out.append(raw[at + bad.start : at + bad.start + 1].decode("cp1252", "replace"))
-            at += bad.start + 1
-    return "".join(out)
+    """UTF-8 with single bytes of Windows-1252 in between, in one pass; bytes that are in neither become U+FFFD."""
+    return raw.decode("utf-8", "rankloom.stray_byte")
 
 
 @F.pandas_udf(T.StringType())
@@ -96,7 +101,9 @@ def file_hashes(spark: SparkSession, path: str, any_line_end: bool = False) -> D
     df = spark.read.format("binaryFile").load(path)
     content: Column = F.col("content")
     if any_line_end:
-        content = F.unhex(F.regexp_replace(F.hex("content"), "((?:[0-9A-F]{2})*?)0D0A", "$10A"))
+        # a space after every byte, so that no pair of digits is taken across two of them
+        spaced = F.regexp_replace(F.hex("content"), "(..)", "$1 ")
+        content = F.unhex(F.replace(F.replace(spaced, F.lit("0D 0A "), F.lit("0A ")), F.lit(" "), F.lit("")))
     return df.select("path", "length", F.sha2(content, 256).alias("sha256"))
 
 
@@ -109,20 +116,34 @@ def write_json(rows: DataFrame, most: int = 10_000) -> str:
 
 
 def markdown(rows: DataFrame, most: int = 1000) -> str:
-    """A small table as a Markdown table."""
-    head = rows.columns
+    """A small table as a Markdown table; more rows than ``most`` are an error."""
+    head, found = rows.columns, rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows for one Markdown table")
     lines = ["| " + " | ".join(head) + " |", "|" + "---|" * len(head)]
-    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.limit(most).collect()])
+    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in found])
 
 
-def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
-    """Append the rows whose keys the table at ``path`` lacks and return what was appended; its columns must agree."""
-    spark = df.sparkSession
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, None where there is none yet."""
     try:
-        done = spark.read.parquet(path)
+        return spark.read.parquet(path)
     except Exception as missing:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
             raise
+        return None
+
+
+def unseen(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+    """One row for each key that the table at ``path`` lacks."""
+    done, rows = stored(df.sparkSession, path), df.dropDuplicates(list(keys))
+    return rows if done is None else rows.join(done.select(*keys), list(keys), "left_anti")
+
+
+def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+    """Append the rows whose keys the table at ``path`` lacks, one for each key, and return what was appended; its columns must agree."""
+    df, done = df.dropDuplicates(list(keys)), stored(df.sparkSession, path)
+    if done is None:
         df.write.parquet(path)
         return df
     if sorted(done.columns) != sorted(df.columns):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import numbers as N
 from rankloom.functions import text as X
-from rankloom.operators import agreement, contracts, diagnose, etl, judge, metrics, pools, retrieval, reuse, stats
+from rankloom.operators import agreement, contracts, diagnose, etl, judge, metrics, ordering, pools, retrieval, reuse, stats
 
 
 def one(df):
@@ -42,7 +42,7 @@ def test_words_and_captions(spark):
     assert one(values(spark, " a  b\n").select(X.word_count(F.col("t")))) == 2
     assert one(values(spark, "").select(X.word_count(F.col("t")))) == 0
     assert one(values(spark, "a b c").select(X.first_words(F.col("t"), 2))) == "a b..."
-    assert [one(values(spark, t).select(X.people_line(F.col("t")))) for t in ("a", "a;b", "a;b;c")] == ["a", "a and b", "a, b, and c"]
+    assert [one(values(spark, t).select(X.people_line(F.col("t")))) for t in ("a", "a;b", "a;b;c")] == ["a", "a and b", "a, b and c"]
     assert one(values(spark, '"978 text"').select(X.leading_id(F.col("t")))) == 978
 
 
@@ -60,7 +60,7 @@ def test_identifiers(spark):
     with pytest.raises(PySparkException):
         values(spark, "12").select(X.canonical_id(F.col("t"), 13)).collect()
     assert one(values(spark, "NaN").select(X.optional_author(F.col("t")))) == ""
-    assert one(values(spark, "Q12x").select(X.natural_number(F.col("t")))) == 12
+    assert [one(values(spark, t).select(X.natural_number(F.col("t")))) for t in ("Q12x", "Q1_T02", "none")] == [12, 102, 10**9]
 
 
 def test_search_text(spark):
@@ -158,12 +158,34 @@ def test_summary(spark):
     assert none.ndcg == 0 and none.first_clear_rank is None and none.mrr == 0 and none.catastrophic == 1
 
 
+def test_gates_of_the_contract(spark):
+    """Eight gates; a value on its threshold passes, the interval's lower end has a gate of its own, MRR has none."""
+    names = ["mean_score", "mean_score_lower", "clear_rate", "irrelevant_rate", "hit_at_5", "top1_clear", "mrr", "ndcg", "catastrophic_rate"]
+    find = lambda *v: {r.metric: r.passed for r in metrics.release_gates(spark.createDataFrame([v], [f"{n}" for n in names])).collect()}
+    on = (2.5, 2.0, 0.6, 0.1, 0.9, 0.75, 0.0, 0.85, 0.0)
+    assert find(*on) == {n: True for n in names if n != "mrr"}
+    under = (2.5 - 1e-13, 1.99, 0.59, 0.11, 0.89, 0.74, 0.0, 0.84, 1 / 12)
+    assert find(*under) == {n: False for n in names if n != "mrr"}
+    # the published second run: 0 of 8
+    assert not any(find(1.692, 1.350, 0.333, 0.308, 0.667, 0.333, 0.508, 0.836, 0.25).values())
+
+
 def test_decision(spark):
-    gates = lambda *failed: spark.createDataFrame([(g[0], g[0] not in failed) for g in metrics.GATES], "metric string, passed boolean")
-    assert one(metrics.decision(gates()).select("decision")) == "PASS"
-    assert one(metrics.decision(gates("mrr", "ndcg")).select("decision")) == "REVIEW"
-    assert one(metrics.decision(gates("catastrophic_rate")).select("decision")) == "FAIL"
-    assert one(metrics.decision(gates("mrr", "ndcg", "hit_at_5")).select("decision")) == "FAIL"
+    def gates(*failed, rate=0.0):
+        rows = [(g[0], g[0] not in failed, rate if g[0] == "catastrophic_rate" else 1.0) for g in metrics.GATES]
+        return one(metrics.decision(spark.createDataFrame(rows, "metric string, passed boolean, value double")).select("decision"))
+
+    assert gates() == "PASS" and gates("top1_clear", "ndcg") == "REVIEW" and gates("clear_rate", "ndcg", "hit_at_5") == "FAIL"
+    assert gates("catastrophic_rate", rate=0.25) == "FAIL"
+    # the rate decides, whatever a caller's own gate asks of it
+    assert gates("ndcg", rate=0.25) == "FAIL" and gates("catastrophic_rate", rate=0.0) == "REVIEW"
+
+
+def test_lists_under_contract(spark):
+    metrics.require_lists(judged(spark, [0, 1, 2]), 3)
+    for bad in (judged(spark, [0, 1]), judged(spark, [0, 1, 5]), judged(spark, [0, 1, 2]).withColumn("rank", F.col("rank") + 1)):
+        with pytest.raises(contracts.ContractError):
+            metrics.require_lists(bad, 3)
 
 
 def test_bootstrap_with_numpy_draws(spark):
@@ -174,10 +196,66 @@ def test_bootstrap_with_numpy_draws(spark):
     assert (r["mean"], r.se, r.lo, r.hi) == pytest.approx((2.0, draws.std(ddof=1), *np.quantile(draws, [0.025, 0.975])))
 
 
+def test_bootstrap_paths_agree(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i * 0.37 % 1, i % 3 / 1.0) for i in range(40)], "query_id long, m double, k double")
+    values = np.array([[r.m, r.k] for r in df.orderBy("query_id").collect()])
+    wanted = np.stack([values[stats.draws(5, r, 40)].mean(axis=0) for r in range(64)])
+    assert np.bincount(np.concatenate([stats.draws(5, r, 40) for r in range(500)])).std() < 40  # 500 expected of each
+    sent = {r.metric: r for r in stats.bootstrap_ci(df, ["m", "k"], replicates=64, seed=5).collect()}
+    for i, name in enumerate(("m", "k")):
+        own = wanted[:, i]
+        assert (sent[name].se, sent[name].lo, sent[name].hi, sent[name].boot_mean) == pytest.approx((own.std(ddof=1), *np.quantile(own, [0.025, 0.975]), own.mean()))
+    monkeypatch.setattr(stats, "BROADCAST_VALUES", 10)
+    shuffled = {r.metric: r for r in stats.bootstrap_ci(df, ["m", "k"], replicates=400, seed=5).collect()}
+    assert shuffled["m"].se == pytest.approx(sent["m"].se, rel=0.3) and shuffled["m"]["mean"] == pytest.approx(sent["m"]["mean"])
+
+
+def test_running_totals(spark):
+    rng = np.random.default_rng(1)
+    for values in (rng.integers(0, 5, 300).tolist(), rng.normal(size=300).tolist(), [7.0] * 20, []):
+        df = spark.createDataFrame([(float(v), i) for i, v in enumerate(values)], "v double, i long")
+        found = ordering.running_total(df, ordering.value_buckets(df, "v"), [F.col("v"), F.col("i")], F.lit(1), "place").collect()
+        assert [r.i for r in sorted(found, key=lambda r: r.place)] == [i for _, i in sorted((v, i) for i, v in enumerate(values))]
+        assert sorted(r.place for r in found) == list(range(1, len(values) + 1))
+
+
 def test_select_candidate_ties(spark):
     df = spark.createDataFrame([("B", 1.0, 0, 5.0), ("K", 1.0, 1, 1.0), ("R", 0.5, 1, 1.0)], "system string, m double, n_changes int, latency double")
     assert one(stats.select_candidate(df, [("m", "max")], "B").select("system")) == "B"
     assert one(stats.select_candidate(df.where("system <> 'B'"), [("m", "max")], "B").select("system")) == "K"
+    # metrics are compared exactly; a tie in everything selects nothing
+    close = spark.createDataFrame([("K", 1.0, 1, 1.0), ("R", 1.0 + 1e-15, 1, 9.0)], df.schema)
+    assert one(stats.select_candidate(close, [("m", "max")], "B").select("system")) == "R"
+    assert stats.select_candidate(spark.createDataFrame([("K", 1.0, 1, 1.0), ("R", 1.0, 1, 1.0), ("S", 1.0, 2, 0.1)], df.schema), [("m", "max")], "B").count() == 0
+
+
+def test_agreement_counts(spark):
+    """Hand-worked: over and under from two on, false zero and false positive by zero alone."""
+    pairs = [(0, 0), (0, 1), (0, 3), (1, 0), (2, 4), (4, 2), (4, 0), (3, 4), (2, 3)]
+    r = agreement.agreement(spark.createDataFrame(pairs, "human int, judge int")).first()
+    assert (r.n, r.severe, r.over, r.under, r.false_zero, r.false_positive) == (9, 4, 2, 2, 2, 2)
+
+
+def test_confusion_has_all_rows(spark):
+    found = sorted(rows(agreement.confusion(spark.createDataFrame([(0, 1), (0, 1), (4, 4)], "human int, judge int"))))
+    assert found == [(0, 0, 2, 0, 0, 0), (1, 0, 0, 0, 0, 0), (2, 0, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0), (4, 0, 0, 0, 0, 1)]
+
+
+def test_disagreements_in_order(spark):
+    df = spark.createDataFrame([("c", 0, 2), ("a", 4, 2), ("b", 0, 4), ("d", 1, 1)], "case_id string, human int, judge int")
+    assert [r.case_id for r in agreement.disagreements(df, least=2).collect()] == ["b", "a", "c"]
+
+
+def test_oracle_support(spark):
+    def kind(actual, best, deep=0):
+        gates = lambda m: metrics.release_gates(m.withColumn("mean_score_lower", F.col("mean_score")))
+        a, o = (metrics.macro(metrics.query_summary(judged(spark, x))) for x in (actual, best))
+        below = judged(spark, [1] * deep) if deep else judged(spark, [1]).where("false")
+        return one(diagnose.oracle_support(a, o, gates(o), below).select("support"))
+
+    assert kind([0, 4, 4, 4], [4, 4, 4, 4]) == "RERANKER_SUPPORTED"
+    assert kind([0, 4, 0], [4, 0, 0]) == "MIXED" and kind([4, 0, 0], [4, 0, 0], deep=1) == "MIXED"
+    assert kind([4, 0, 0], [4, 0, 0]) == "RETRIEVAL_LIMITED"
 
 
 def test_kappa(spark):
@@ -202,8 +280,19 @@ def test_expectations(spark):
 
 
 def test_headroom(spark):
-    df = judged(spark, [0] * 12 + [3], 1).unionByName(judged(spark, [0] * 3, 2)).unionByName(judged(spark, [4], 3))
-    assert dict(rows(diagnose.headroom(df).select("query_id", "headroom"))) == {1: "HEADROOM_FOUND_11_50", 2: "NO_CLEAR"}
+    df = judged(spark, [0] * 12 + [3, 2], 1).unionByName(judged(spark, [0] * 60 + [4], 2)).unionByName(judged(spark, [4] + [1] * 20, 3)).unionByName(judged(spark, [0] * 11, 4))
+    left = df.join(diagnose.unclear(df), "query_id")
+    first, second = diagnose.headroom(left), diagnose.headroom(left, 51, None)
+    found = {r.query_id: (r.headroom, r.n_candidates, r.best_score, r.n_partial, r.clear_ranks) for r in first.collect()}
+    assert found == {1: ("HEADROOM_FOUND_11_50", 4, 3, 1, "[13]"), 2: ("NO_CLEAR_THROUGH_50", 40, 0, 0, "[]"), 4: ("NO_CLEAR_THROUGH_50", 1, 0, 0, "[]")}
+    both = {r.query_id: (r.stage_b, r.headroom) for r in diagnose.combine_headroom(first, second).collect()}
+    assert both == {1: ("NOT_RUN_STAGE_A_ALREADY_RESOLVED", "HEADROOM_FOUND_11_50"), 2: ("HEADROOM_FOUND_51_END",) * 2, 4: ("NO_CLEAR_THROUGH_FULL_UNION",) * 2}
+
+
+def test_depth_profile(spark):
+    r = diagnose.depth_profile(judged(spark, [0, 3, 1, 2, 0, 0, 0, 0, 0, 0, 4, 2, 3])).first()
+    assert (r.first_clear_rank, r.first_strong_rank, r.best_1_10, r.best_11_50, r.clear_11_50, r.partial_11_50) == (2, 11, 3, 4, 2, 3)
+    assert (r.clear_ranks, r.partial_ranks, r.clear_at_10, r.partial_at_20, r.ranks_1_10_score_0, r.ranks_11_50_score_4) == ("11,13", "11,12,13", 1, 5, 7, 1)
 
 
 # ------------------------------------------------ judge
@@ -247,6 +336,15 @@ def test_cues():
     assert judge.scan_cue([("S1", "nothing")], rules, before, after) == (None, None, 0)
 
 
+def test_collection_cues_near_each_other(spark):
+    text = "An anthology " + "x " * 10 + "and a collection " + "y" * 221 + " about sea magic"
+    far = "An anthology " + "x" * 260 + " about sea magic"
+    for whole, wanted in ((text, True), (far, False), ("sea magic " + "x" * 150 + " collection", True), ("sea magic " + "x" * 190 + " collection", False), ("no cue: sea magic", False)):
+        df = spark.createDataFrame([("Sea-Magic", whole)], "f string, w string")
+        assert one(df.select(judge.named_at_collection(F.col("f"), F.col("w")))) is wanted
+    assert one(spark.createDataFrame([("--", text)], "f string, w string").select(judge.named_at_collection(F.col("f"), F.col("w")))) is False
+
+
 def test_guards(spark):
     df = spark.createDataFrame([("same_as_primary_subject", "magic", "In one story a wizard acts", "An anthology. In one story a wizard acts"), ("same_as_primary_subject", "magic", "In one story a wizard acts", "A collection about magic. In one story a wizard acts"), ("other", "magic", "x", "y")], "r string, f string, e string, w string")
     assert [r[0] for r in df.select(judge.scope_guard(F.col("r"), F.col("f"), F.col("e"), F.col("w"))).collect()] == ["other", "same_as_primary_subject", "other"]
@@ -268,7 +366,11 @@ def test_assessment_faults(spark):
 def test_precedence_and_payloads(spark):
     a = spark.createDataFrame([(1, 2)], "k long, score int")
     b = spark.createDataFrame([(1, 3), (2, 4)], "k long, score int")
-    assert rows(reuse.precedence([a, b], ["k"]).select("k", "score", "source_rank", "conflict").orderBy("k")) == [(1, 2, 0, True), (2, 4, 1, False)]
+    assert rows(reuse.precedence([a, b], ["k"]).select("k", "score", "source_rank", "n_conflicts").orderBy("k")) == [(1, 2, 0, 1), (2, 4, 1, 0)]
+    c = spark.createDataFrame([(1, 2), (1, 4)], "k long, score int")
+    assert one(reuse.precedence([a, b, b.where("k = 1"), a], ["k"]).where("k = 1").select("n_conflicts")) == 2
+    with pytest.raises(contracts.ContractError):
+        reuse.precedence([a, c], ["k"])
     wanted = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "k long, payload string")
     known = spark.createDataFrame([(1, "x", 4), (2, "other", 1)], "k long, payload string, score int")
     assert rows(reuse.payload_reuse(wanted, known, ["k"]).select("k", "status", "score").orderBy("k")) == [(1, "reused", 4), (2, "mismatch", None), (3, "novel", None)]
@@ -337,3 +439,75 @@ def test_model_hooks(spark):
     assert unit.where(N.is_unit(F.col("embedding"), 2)).count() == 2
     pairs = spark.createDataFrame([(1, "q", "text")], "k long, q string, t string")
     assert rows(etl.score_pairs(pairs, ["k"], "q", "t", lambda xs: [len(a) + len(b) for a, b in xs])) == [(1, 5.0)]
+
+
+def test_blind_labels_come_back(spark):
+    pool = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "id long, t string")
+    blind = pools.blind(pool, "id", "s").persist()
+    assert sorted(r.blind_id for r in blind.collect()) == [f"B{i:06d}" for i in range(1, 51)]
+    labels = blind.select("blind_id", (F.col("id") % 5).alias("score"))
+    assert {(r.id, r.score) for r in pools.unblind(labels, blind.select("blind_id", "id")).collect()} == {(i, i % 5) for i in range(50)}
+    for bad in (labels.where("blind_id <> 'B000007'"), labels.unionByName(labels)):
+        with pytest.raises(contracts.ContractError):
+            pools.unblind(bad, blind.select("blind_id", "id"))
+
+
+def test_pool_checks(spark):
+    pool = spark.createDataFrame([("Q1", 1, "a"), ("Q1", 2, "b"), ("Q2", 3, None)], "query_id string, id long, key string")
+    kept, apart = pools.quarantine(pool, F.col("key") == "b")
+    assert [r.id for r in kept.orderBy("id").collect()] == [1, 3] and [r.id for r in apart.collect()] == [2]
+    expected = spark.createDataFrame([("query_id", "Q1", 2), ("query_id", "Q2", 2), ("key", "a", 1), ("key", "z", 1)], "column string, value string, n int")
+    assert sorted(rows(pools.composition_faults(pool, expected, ["query_id", "key"])), key=str) == sorted([("query_id", "Q2", 2, 1), ("key", "z", 1, 0), ("key", "b", 0, 1), ("key", None, 0, 1)], key=str)
+    consumed = spark.createDataFrame([(2, "a"), (9, None)], "id long, key string")
+    assert dict(rows(pools.overlap_report(pool, consumed, ["id", "key"]))) == {"id": 1, "key": 1}
+    assert [r.id for r in pools.exclude_ids(pool, spark.createDataFrame([(1,), (2,)], "id long"), "id").collect()] == [3]
+    with pytest.raises(contracts.ContractError):
+        pools.exclude_ids(pool, spark.createDataFrame([(7,)], "id long"), "id")
+
+
+def test_slots_without_used_works(spark):
+    ranked = spark.createDataFrame([(1, i, i, f"w{i // 2}") for i in range(1, 12)], "query_id long, item_id long, rank long, work string")
+    assert [r["rank"] for r in pools.slot_sample(ranked, (2, 3, 10)).orderBy("rank").collect()] == [2, 3, 10]
+    used = spark.createDataFrame([(1, "w1")], "query_id long, work string")
+    assert [r["rank"] for r in pools.slot_sample(ranked, (2, 3, 10), used, "work").orderBy("rank").collect()] == [4, 5, 10]
+    with pytest.raises(contracts.ContractError):
+        pools.slot_sample(ranked, (2, 30), complete=True)
+
+
+def test_union_of_lists_that_differ(spark):
+    a = spark.createDataFrame([(1, 1, 1, "x"), (1, 2, 2, None)], "query_id long, item_id long, rank long, title string")
+    b = spark.createDataFrame([(1, 1, 2, "x"), (1, 3, 1, "z")], "query_id long, item_id long, rank long, title string")
+    assert sorted((r.item_id, r.title) for r in retrieval.display_union(a, b, shared=("title",)).collect()) == [(1, "x"), (2, None), (3, "z")]
+    with pytest.raises(PySparkException, match="title differs"):
+        retrieval.display_union(a, b.withColumn("title", F.lit("y")), shared=("title",)).collect()
+
+
+def test_vectors_of_other_lengths(spark):
+    items = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0, 3.0])], "item_id long, embedding array<double>").coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0, 1.0])], "query_id long, embedding array<double>")
+    with pytest.raises(PySparkException, match="vectors of 1 to 3 numbers"):
+        retrieval.dense_topk(items, queries).collect()
+
+
+def test_recommend_in_order(spark):
+    """Retrieval order survives a catalogue in another order, and the tone orders the shown ones alone."""
+    found = spark.createDataFrame([(7, 300, 1), (7, 100, 2), (7, 400, 3), (7, 200, 4), (8, 200, 1)], "query_id long, item_id long, rank long")
+    meta = spark.createDataFrame([(100, "a", 0.1), (200, "b", 0.9), (300, "a", 0.5), (400, "a", 0.5)], "item_id long, category string, joy double")
+    order = lambda **o: [(r.query_id, r.place, r.item_id) for r in etl.recommend(found, meta, **o).collect()]
+    assert order() == [(7, 1, 300), (7, 2, 100), (7, 3, 400), (7, 4, 200), (8, 1, 200)]
+    assert order(k=2, tone="Happy") == [(7, 1, 300), (7, 2, 100), (8, 1, 200)]
+    assert order(category="a", tone="happy") == [(7, 1, 300), (7, 2, 400), (7, 3, 100)] and order(category=None) == []
+
+
+def test_defaults_and_choices(spark):
+    df = spark.createDataFrame([("u", "b"), (None, "a"), ("v", "b"), ("w", None)], "t string, c string")
+    assert [r[0] for r in df.select(etl.with_default("cover.jpg", F.col("t"), F.lit("&w=8"))).collect()] == ["u&w=8", "cover.jpg", "v&w=8", "w&w=8"]
+    assert rows(etl.choices(df, "c")) == [(0, "All"), (1, "a"), (2, "b")]
+
+
+def test_title_lookup(spark):
+    wanted = spark.createDataFrame([("Sea",), ("river ",), ("none",)], "title string")
+    catalog = spark.createDataFrame([(1, "The Sea"), (2, "sea"), (3, "A River"), (4, "river run")], "item_id long, title string")
+    assert sorted(rows(reuse.title_lookup(wanted, catalog)), key=str) == [("Sea", 2, "exact"), ("none", None, "none"), ("river ", 3, "contains")]
+    with pytest.raises(ValueError, match="more than 1"):
+        reuse.title_lookup(wanted, catalog, most=1)

@@ -61,18 +61,24 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["bootstrap_ci_queries", "paired_delta_queries"])
+@pytest.mark.parametrize("name", ["bootstrap_ci", "paired_delta"])
 def test_bootstrap_draws_all_queries(spark, sf_dir, name):
     summaries = [{r.query_id: r for r in evaluation._summary(spark, sf_dir, s).collect()} for s in "ab"]
-    if name == "bootstrap_ci_queries":
+    if name == "bootstrap_ci":
         rows = [[r.mean_score, r.clear_rate, r.ndcg] for _, r in sorted(summaries[0].items())]
     else:
         rows = [[summaries[1][q][m] - r[m] for m in ("mean_score", "clear_rate", "ndcg")] for q, r in sorted(summaries[0].items()) if q in summaries[1]]
     values = np.array(rows, float)
     assert len(values) > 100  # parts, not brands
-    draws = np.array([[int(hashlib.md5(f"{stats.SEED}:{r}:{i}".encode()).hexdigest()[:8], 16) % len(values) for i in range(len(values))] for r in range(5000)])
+    # the draws, worked out with Python's integers
+    def place(rep, slot):
+        z = (slot + (((stats.SEED << 24) + rep << 32) % 2**63)) * stats._STEP % 2**64
+        z = (z ^ z >> 32) * stats._MIX % 2**64
+        return ((z ^ z >> 29) >> 11) % len(values)
+
+    draws = np.array([[place(r, i) for i in range(len(values))] for r in range(5000)])
     means = values[draws].mean(axis=1)
-    wanted = zip(values.mean(axis=0), means.std(axis=0, ddof=1), *np.quantile(means, [0.025, 0.975], axis=0), strict=True)
-    found = {r.metric: (r["mean"], r.se, r.lo, r.hi) for r in catalogue.queries()[name](spark, sf_dir).collect()}
+    wanted = zip(values.mean(axis=0), means.std(axis=0, ddof=1), *np.quantile(means, [0.025, 0.975], axis=0), means.mean(axis=0), strict=True)
+    found = {r.metric: (r["mean"], r.se, r.lo, r.hi, r.boot_mean) for r in catalogue.queries()[name](spark, sf_dir).collect()}
     for metric, row in zip(("mean_score", "clear_rate", "ndcg"), wanted, strict=True):
         assert found[metric] == pytest.approx(row, abs=2e-9)

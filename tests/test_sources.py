@@ -52,6 +52,22 @@ def test_hashes(spark, tmp_path):
     assert files.file_hashes(spark, str(tmp_path / "h.txt"), True).first().sha256 == hashlib.sha256(b"a\nb\x0d\x10\nc").hexdigest()
 
 
+def test_hashes_leave_bytes_alone(spark, tmp_path):
+    raw = " Рx\n".encode() + b"\x0d\x0d\x0a\x0d"
+    (tmp_path / "c.txt").write_bytes(raw)
+    assert files.file_hashes(spark, str(tmp_path / "c.txt"), True).first().sha256 == hashlib.sha256(raw.replace(b"\r\n", b"\n")).hexdigest()
+
+
+def test_long_mixed_bytes():
+    raw = b"\x93" * 300_000 + "ü".encode() + b"\xe2\x82"
+    assert files.decode_mixed(raw) == "“" * 300_000 + "ü" + "â‚"
+
+
+def test_json_with_mark(spark, tmp_path):
+    (tmp_path / "b.json").write_bytes(b"\xef\xbb\xbf" + b'[{"a": 1},\n {"a": 2}]')
+    assert sorted(r.a for r in files.read_json(spark, str(tmp_path / "b.json"), "a int").collect()) == [1, 2]
+
+
 def test_facets(spark, tmp_path):
     spec = {"queries": [{"query_id": "Q1", "query": "q", "facets": [{"facet_id": "f", "text": "t", "facet_type": "core", "required_components": [{"component_id": "a"}, {"component_id": "b"}]}]}]}
     (tmp_path / "f.json").write_text(json.dumps(spec))
@@ -62,23 +78,34 @@ def test_reports(spark):
     df = spark.createDataFrame([(1, None)], "a int, b string")
     assert json.loads(files.write_json(df)) == [{"a": 1, "b": None}]
     assert files.markdown(df).splitlines()[-1] == "| 1 |  |"
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        files.markdown(spark.range(3), most=2)
     assert files.contract_differences({"a": 1, "b": 2}, {"a": 1, "c": 3}) == {"b": (2, None), "c": (None, 3)}
 
 
 def test_append_new(spark, tmp_path):
     path = str(tmp_path / "done")
     make = lambda *k: spark.createDataFrame([(x, x * 2) for x in k], "k int, v int")
-    files.append_new(make(1, 2), path, ["k"])
+    files.append_new(make(1, 2, 2), path, ["k"])
     files.append_new(make(2, 3), path, ["k"])
     assert sorted(r.k for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+    assert [r.k for r in files.unseen(make(3, 4, 4), path, ["k"]).collect()] == [4]
     with pytest.raises(ValueError, match="columns"):
         files.append_new(make(4).withColumnRenamed("v", "w"), path, ["k"])
 
 
 def test_stream_scores_each_case_once(spark, tmp_path):
     source, target, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
-    score = lambda df: df.withColumn("score", F.col("k") * 10)
-    for keys in ((1, 2), (2, 3)):
+    asked = []
+
+    def score(df):
+        asked.extend(r.k for r in df.collect())
+        return df.withColumn("score", F.col("k") * 10)
+
+    for keys in ((1, 2, 2), (2, 3)):
         spark.createDataFrame([(k,) for k in keys], "k int").write.mode("append").parquet(source)
         score_stream(spark, source, "k int", target, mark, score, ["k"]).awaitTermination()
     assert sorted((r.k, r.score) for r in spark.read.parquet(target).collect()) == [(1, 10), (2, 20), (3, 30)]
+    # a stream that starts over finds all cases done
+    score_stream(spark, source, "k int", target, mark + "2", score, ["k"]).awaitTermination()
+    assert sorted(asked) == [1, 2, 3]
