@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.numbers import ratio
 
-SCALE, POSITIVE, SEVERE = 5, 3, 2
+SCALE, POSITIVE, SEVERE = 5, 1, 2
 
 
 def _signed(human: str, judge: str) -> Column:
@@ -36,7 +36,7 @@ def agreement(pairs: DataFrame, human: str = "human", judge: str = "judge", by:
 
 
 def binary_prf(pairs: DataFrame, human: str = "human", judge: str = "judge", threshold: int = POSITIVE, by: list[str] | None = None) -> DataFrame:
-    """Counts, precision, recall and F1 of "at least the threshold"; 0 where undefined."""
+    """Counts, precision, recall and F1 of "relevant": at least the threshold, so any score but 0; 0 where undefined."""
     h, j = F.col(human) >= threshold, F.col(judge) >= threshold
     counts = pairs.groupBy(*(by or [])).agg(F.count_if(h & j).alias("tp"), F.count_if(~h & j).alias("fp"), F.count_if(h & ~j).alias("fn"), F.count_if(~h & ~j).alias("tn"))
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))

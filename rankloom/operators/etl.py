@@ -108,17 +108,15 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     Average ranks come from counts by value, not from an ordered pass over all rows: each pair is aggregated by value, and
     ranks are running sums over the distinct values only, in buckets that follow the order.
     """
-    out = None
+    out, buckets = None, value_buckets(df, columns)
     for i, a in enumerate(columns):
         for b in columns[i + 1 :]:
-            both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("x"), F.col(b).alias("y"))
-            cells = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+            cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
             ranked = cells
-            for c in ("x", "y"):
-                totals = both.groupBy(c).agg(F.count(F.lit(1)).alias("m"))
-                sums = running_total(totals, value_buckets(totals, c), [F.col(c)], F.col("m"), "_upto")
-                ranks = sums.withColumn(f"r{c}", F.col("_upto") - (F.col("m") - 1) / 2).drop("m", "_upto")
-                ranked = ranked.join(ranks, c)
+            for name, c in (("rx", a), ("ry", b)):
+                totals = cells.groupBy(c).agg(F.sum("n").alias("m"))
+                sums = running_total(totals, buckets[c], [F.col(c)], F.col("m"), "_upto")
+                ranked = ranked.join(sums.select(c, (F.col("_upto") - (F.col("m") - 1) / 2).alias(name)), c)
             w, x, y = F.col("n"), F.col("rx"), F.col("ry")
             s = ranked.agg(F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"), F.sum(w * x * y).alias("sxy"))
             rho = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") ** 2) * (F.col("n") * F.col("syy") - F.col("sy") ** 2))

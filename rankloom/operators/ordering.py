@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 BUCKETS = 256
 
 
-def value_buckets(df: DataFrame, column: str, buckets: int = BUCKETS) -> Column:
-    """A bucket for each value of a numeric column, ascending with it; values that tie share one."""
-    marks = df.agg(F.approx_percentile(F.col(column).cast("double"), [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0]
-    cuts = sorted({float(x) for x in marks or []})
-    return _search(F.col(column).cast("double"), cuts)
+def value_buckets(df: DataFrame, columns: list[str], buckets: int = BUCKETS) -> dict[str, Column]:
+    """For each numeric column a bucket of each value, ascending with it, from one pass; values that tie share one.
+
+    The columns are read by name, so they also serve a table that has the same values under the same name.
+    """
+    marks = df.agg(*[F.approx_percentile(F.col(c).cast("double"), [i / buckets for i in range(1, buckets)], 10 * buckets).alias(c) for c in columns]).first()
+    return {c: _search(F.col(c).cast("double"), sorted({float(x) for x in marks[c] or []})) for c in columns}
 
 
 def _search(value: Column, cuts: list[float]) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +15,8 @@ from rankloom.operators.contracts import ContractError, require, require_unique
 
 #: Most query vectors that are sent to the executors at a time.
 QUERY_BLOCK = 1024
-#: Most (query, term) rows that are sent to the executors; more are joined by a shuffle.
-TERM_ROWS = 500_000
+#: Most (query, term) rows that are sent to the executors, and scores that a task holds at once.
+TERM_ROWS, _CELLS = 500_000, 4_000_000
 
 
 def ranked(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
@@ -73,32 +74,95 @@ def dense_topk(items: DataFrame, queries: DataFrame, k: int = 50, block: int = Q
     return ranked(out, ["query_id"], [F.desc("dense_score"), F.asc("item_id")], "dense_rank").where(F.col("dense_rank") <= k)
 
 
-def postings(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(item_id, term, tf, length) from (item_id, terms), of ``wanted`` terms alone if given. Documents without terms have no postings."""
+def postings(docs: DataFrame) -> DataFrame:
+    """(item_id, term, tf, length) from (item_id, terms). Documents without terms have no postings."""
     sized = docs.select("item_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    if wanted is not None:
-        sized = sized.join(wanted, "term", "left_semi")
     return sized.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
+def _wanted(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """(query_id, item_id, bm25_score) of all pairs that share a term.
 
-    ``docs`` has item_id and terms, ``queries`` query_id and terms; a term repeated in a query counts as often. Terms
-    that no query has go where they are read, by a broadcast of the query terms if they are few enough, so only
-    postings of query terms are shuffled. Mean length is over all documents.
+    ``docs`` has item_id and terms, ``queries`` query_id and terms; a term repeated in a query counts as often. Only
+    postings of query terms are joined, so documents without one are never scored. Mean length is over all documents.
     """
+    wanted = _wanted(queries)
     stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("mean_length"))
-    wanted = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
-    few = F.broadcast if wanted.limit(TERM_ROWS + 1).count() <= TERM_ROWS else lambda x: x
-    hits = postings(docs, few(wanted.select("term").distinct()))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each query term at most
-    weighted = hits.join(few(df), "term").join(F.broadcast(stats)).withColumn("part", idf(F.col("n_docs"), F.col("df")) * tf_part(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b))
-    return weighted.join(few(wanted), "term").groupBy("query_id", "item_id").agg(F.sum(F.col("part") * F.col("weight")).alias("bm25_score"))
+    hits = postings(docs).join(wanted.select("term").distinct(), "term", "left_semi")
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighted = hits.join(df, "term").join(F.broadcast(stats)).withColumn("part", idf(F.col("n_docs"), F.col("df")) * tf_part(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b))
+    return weighted.join(wanted, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("part") * F.col("weight")).alias("bm25_score"))
+
+
+def _bm25_batches(sent, k: int, k1: float, b: float):
+    """The best k of every batch of documents for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, ids, first, query, gain, mean = sent.value
+        terms = pa.array(terms, pa.string())
+        many = max(1, _CELLS // max(len(ids), 1))
+        for batch in (x.slice(i, many) for x in batches for i in range(0, len(x), many)):
+            lists = batch.column("terms")
+            length = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(float))
+            row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            term = pc.fill_null(pc.index_in(pc.list_flatten(lists), value_set=terms), -1).to_numpy(zero_copy_only=False)
+            pairs, tf = np.unique((row * len(terms) + term)[term >= 0], return_counts=True)
+            if not len(pairs):
+                continue
+            row, term = pairs // len(terms), pairs % len(terms)
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / mean))
+            # a posting counts for each query that has its term
+            times = np.diff(first)[term]
+            which = np.repeat(np.arange(len(pairs)), times)
+            entry = np.repeat(first[term] - (np.cumsum(times) - times), times) + np.arange(len(which))
+            scores = np.bincount(query[entry] * len(batch) + row[which], part[which] * gain[entry], len(ids) * len(batch)).reshape(len(ids), -1)
+            rounded = np.round(scores, 9)
+            least = np.partition(rounded, -k, axis=1)[:, -k] if k < len(batch) else np.zeros(len(ids))
+            q, at = np.nonzero((rounded >= least[:, None]) & (scores > 0))
+            item = batch.column("item_id").to_numpy(zero_copy_only=False)
+            order = np.lexsort((item[at], -rounded[q, at], q))
+            q, at = q[order], at[order]
+            near = np.arange(len(q)) - np.searchsorted(q, q) < k
+            q, at = q[near], at[near]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(item[at]), pa.array(scores[q, at])], ["query_id", "item_id", "bm25_score"])
+
+    return run
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 50, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    scored = bm25_scores(docs, queries, k1, b).where("bm25_score > 0")
+    """The k best documents for each query: query_id, item_id, bm25_score, bm25_rank; equal scores go to the smaller id.
+
+    A document is one row, so with the query terms at hand it is scored where it is read: one pass counts documents by
+    term, a second keeps each batch's best k, and no posting is shuffled. Beyond ``TERM_ROWS`` query terms postings are
+    joined instead.
+    """
+    spark, wanted = docs.sparkSession, _wanted(queries)
+    held = wanted.limit(TERM_ROWS + 1).toArrow()
+    if held.num_rows > TERM_ROWS:
+        scored = bm25_scores(docs, queries, k1, b).where("bm25_score > 0")
+    else:
+        known = F.broadcast(spark.createDataFrame(sorted({(t,) for t in held.column("term").to_pylist()} | {("",)}), "term string"))
+        # every document has the empty term as well, which gives the number of documents and their mean length
+        each = docs.select(F.size("terms").alias("length"), F.explode(F.array_append(F.array_distinct("terms"), F.lit(""))).alias("term"))
+        counts = {r["term"]: (r["df"], r["total"]) for r in each.join(known, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("total")).collect()}
+        n_docs, total = counts.pop("", (0, 0))
+        rows = held.filter(pc.is_in(held.column("term"), value_set=pa.array(sorted(counts), pa.string()))).sort_by([("term", "ascending"), ("query_id", "ascending")])
+        terms = sorted(counts)
+        df = np.array([counts[t][0] for t in terms], float)
+        term = pc.index_in(rows.column("term"), value_set=pa.array(terms, pa.string())).to_numpy().astype(np.int64)
+        ids, query = np.unique(rows.column("query_id").to_numpy(), return_inverse=True)
+        gain = rows.column("weight").to_numpy() * np.log(1 + (n_docs - df + 0.5) / (df + 0.5))[term]
+        first = np.searchsorted(term, np.arange(len(terms) + 1))
+        shape = f"query_id {dict(wanted.dtypes)['query_id']}, item_id {dict(docs.dtypes)['item_id']}, bm25_score double"
+        if not terms:
+            scored = spark.createDataFrame([], shape)
+        else:
+            sent = spark.sparkContext.broadcast((terms, ids, first, query.astype(np.int64), gain, total / n_docs))
+            scored = docs.select("item_id", "terms").mapInArrow(_bm25_batches(sent, k, k1, b), shape)
     # sums come in any order: equal scores must tie
     return ranked(scored, ["query_id"], [F.desc(F.round("bm25_score", 9)), F.asc("item_id")], "bm25_rank").where(F.col("bm25_rank") <= k)
 

@@ -13,13 +13,16 @@ from rankloom.operators.contracts import require, require_unique
 def precedence(sources: list[DataFrame], keys: list[str], score: str = "score") -> DataFrame:
     """The first source's row of each key, with how many sources have it and how many scores differ from the winner.
 
-    A key that repeats within a source is an error. The scores of a key are gathered: at most one for each source.
+    A key that repeats within a source is an error when it is read. The scores of a key are gathered: one for each source.
     """
     stacked = reduce(lambda a, b: a.unionByName(b), [s.select(*keys, score).withColumn("source_rank", F.lit(i)) for i, s in enumerate(sources)])
-    require_unique(stacked, [*keys, "source_rank"])
-    best = F.min_by(F.col(score), F.col("source_rank"))
-    out = stacked.groupBy(*keys).agg(best.alias(score), F.min("source_rank").alias("source_rank"), F.count(F.lit(1)).alias("n_sources"), F.collect_list(score).alias("_all"))
-    return out.withColumn("n_conflicts", F.size(F.filter("_all", lambda x: x != F.col(score))).cast("long")).drop("_all")
+    gathered = stacked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("source_rank", F.col(score).alias("score")))).alias("_all"))
+    every, first = F.col("_all"), F.col("_all")[0]
+    twice = F.size(F.array_distinct(every["source_rank"])) < F.size(every)
+    best = F.when(twice, F.raise_error(F.concat_ws(" ", F.lit("a source repeats the key"), *[F.col(k).cast("string") for k in keys]))).otherwise(first["score"])
+    return gathered.select(
+        *keys, best.alias(score), first["source_rank"].alias("source_rank"), F.size(every).cast("long").alias("n_sources"),
+        F.size(F.filter(every["score"], lambda x: x != first["score"])).cast("long").alias("n_conflicts"))
 
 
 def conflicts(sources: list[DataFrame], keys: list[str], score: str = "score") -> DataFrame:

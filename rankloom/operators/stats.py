@@ -50,7 +50,7 @@ def bootstrap_ci(values: DataFrame, metrics: list[str], key: str = "query_id", r
     spark = values.sparkSession
     rows = values.select(key, *[F.col(m).cast("double").alias(m) for m in metrics])
     shape = ", ".join(f"{m} double" for m in metrics)
-    n = rows.count()
+    n, table = rows.count(), None
     if n * len(metrics) > BROADCAST_VALUES:
         if indices == "numpy":
             raise ValueError(f"{n} queries are too many for a matrix of draws on the driver")
@@ -73,8 +73,12 @@ def bootstrap_ci(values: DataFrame, metrics: list[str], key: str = "query_id", r
 
             means = spark.range(0, replicates, 1, min(replicates, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(resample, shape)
     long = means.unpivot([], metrics, "metric", "value")
+    # the draws' values are all at hand where they were sent to the tasks
+    if table is None:
+        actual = rows.agg(*[F.avg(m).alias(m) for m in metrics]).unpivot([], [F.col(m) for m in metrics], "metric", "mean")
+    else:
+        actual = spark.createDataFrame([(m, float(x)) for m, x in zip(metrics, table.mean(axis=0) if n else [], strict=False)], "metric string, mean double")
     ci = long.groupBy("metric").agg(F.stddev_samp("value").alias("se"), F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"), F.avg("value").alias("boot_mean"))
-    actual = rows.agg(*[F.avg(m).alias(m) for m in metrics]).unpivot([], [F.col(m) for m in metrics], "metric", "mean")
     return actual.join(ci, "metric")
 
 

@@ -257,7 +257,7 @@ _PRF = """count(*) FILTER ({h} AND {j}) AS tp, count(*) FILTER (NOT {h} AND {j})
 
 @register("binary_prf", f"""
 SELECT tp, fp, fn, tn, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1
-FROM (SELECT {_PRF.format(h='(human >= 3)', j='(judge >= 3)')} FROM {B.PAIRS_SQL})""")
+FROM (SELECT {_PRF.format(h='(human > 0)', j='(judge > 0)')} FROM {B.PAIRS_SQL})""")
 def binary_prf(spark, sf):
     return B.rounded(A.binary_prf(B.annotated(spark, sf)), "precision", "recall", "f1")
 
