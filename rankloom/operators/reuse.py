@@ -51,8 +51,8 @@ def complete_map(inventory: DataFrame, reused: DataFrame, novel: DataFrame, keys
 
 
 def overlay(base: DataFrame, changes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """The base with non-null values of ``changes`` laid over the named columns."""
-    renamed = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    """The base with non-null values of ``changes`` laid over the named columns; a key that ``changes`` repeats is an error."""
+    renamed = require_unique(changes, keys).select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns])
     joined = base.join(renamed, keys, "left")
     return joined.withColumns({c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) for c in columns}).drop(*[f"_new_{c}" for c in columns])
 

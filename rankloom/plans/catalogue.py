@@ -32,7 +32,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from rankloom.plans import evaluation, preparation, retrieval  # noqa: F401
+    from rankloom.plans import artefacts, evaluation, preparation, retrieval  # noqa: F401
 
 
 _load()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -14,3 +16,13 @@ def reachable(spark: SparkSession) -> None:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if _HOME not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, _HOME]))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all machines share (``spark.checkpoint.dir``). Where it is unset, a local session gets a folder of its own and a cluster an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        found = "file://" + tempfile.mkdtemp(prefix="rankloom-")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"

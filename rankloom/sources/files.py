@@ -29,7 +29,7 @@ def read_text_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Da
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", single: bool = False) -> None:
     """CSV with a header; ``single`` makes one file of a small report."""
-    (df.coalesce(1) if single else df).write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    (df.coalesce(1) if single else df).write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import numbers as N
 from rankloom.functions import text as X
-from rankloom.operators import agreement, contracts, diagnose, etl, judge, metrics, ordering, pools, retrieval, reuse, stats
+from rankloom.operators import agreement, contracts, diagnose, etl, judge, metrics, ordering, pools, retrieval, reuse, stats, verdict
 
 
 def one(df):
@@ -513,3 +514,115 @@ def test_title_lookup(spark):
     assert sorted(rows(reuse.title_lookup(wanted, catalog)), key=str) == [("Sea", 2, "exact"), ("none", None, "none"), ("river ", 3, "contains")]
     with pytest.raises(ValueError, match="more than 1"):
         reuse.title_lookup(wanted, catalog, most=1)
+
+
+# ------------------------------------------------ verdicts
+
+
+def test_text_anchors(spark):
+    """Hand-worked from the rules' own wording."""
+    cases = [
+        ("Resistance ", "active_opposition_or_defiance", "She joined the movement", "explicit", "missing"),
+        ("resistance", "active_opposition_or_defiance", "They fought on", "explicit", "explicit"),
+        ("resistance", "target_oppressive_or_authoritarian_power", "They fought on", "entailed", "missing"),
+        ("complicated parent-child relationship", "parent_child_relationship", "two lovers quarrel", "explicit", "missing"),
+        ("complicated parent-child relationship", "conflict", "two lovers quarrel", "explicit", "explicit"),
+        ("dangerous journeys", "movement_or_travel", "They took off on a wild adventure into the hills", "entailed", "entailed"),
+        ("grief", "anything", "home from the war", "explicit", "missing"), ("grief", "anything", "home from the war, a widow", "explicit", "explicit"),
+        ("building effective organizations", "organizational_effectiveness_goal", "Silos hurt corporate\nperformance", "missing", "entailed"),
+        ("legendary heroes", "legendary_or_mythic_hero_identity", "the origin of a legend", "explicit", "missing"),
+        ("mythology", "mythic_or_mythological_basis", "based on the Odyssey, with a cyclops", "missing", "entailed"),
+        ("adventure", "adventure_like_progression", "a quest", "missing", "entailed"), ("adventure", "adventure_like_progression", "symbolism of a quest", "missing", "missing"),
+        ("unknown facet", "x", "a quest", "missing", "missing"),
+    ]
+    df = spark.createDataFrame(cases, "facet string, part string, text string, grounding string, wanted string")
+    found = df.withColumn("found", verdict.guarded(F.col("grounding"), F.col("facet"), F.col("part"), F.col("text")))
+    assert [(r.text, r.found) for r in found.where("found <> wanted OR found IS NULL").collect()] == []
+
+
+def test_recovery_from_several_spans(spark):
+    cases = [
+        ("dangerous journeys", "danger_or_threat", ["A shipwrecked man.", "He sails home.", "The end."], ("entailed", ["S1", "S2"])),
+        ("dangerous journeys", "danger_or_threat", ["A shipwrecked man."], None),
+        ("resistance", "active_opposition_or_defiance", ["They revolt.", "A tyrannical king."], None),
+        ("resistance", "active_opposition_or_defiance", ["They revolt against a tyrannical king."], ("entailed", ["S1"])),
+        ("mythology", "mythic_or_mythological_basis", ["Based on the Iliad.", "A goddess speaks."], ("entailed", ["S1", "S2"])),
+        ("mythology", "mythic_or_mythological_basis", ["Based on the Iliad.", "A goddess speaks.", "A scholarly analysis."], None),
+        ("dangerous journeys", "movement_or_travel", ["a trip"] * 6, ("explicit", ["S1", "S2", "S3", "S4"])),
+    ]
+    for facet, part, texts, wanted in cases:
+        df = spark.createDataFrame([(facet, part, [(f"S{i}", t) for i, t in enumerate(texts, 1)])], "f string, p string, s array<struct<span_id: string, text: string>>")
+        r = df.select(verdict.recovered(F.col("f"), F.col("p"), F.col("s"))).first()[0]
+        assert (r and (r.grounding, r.span_ids)) == wanted
+
+
+def test_role_guards(spark):
+    same, defining = "same_as_primary_subject", "defining_content_or_narrative_driver"
+    cases = [("inequality", same, True, "a working class boy", ("other", False)), ("inequality", same, True, "a working class boy in poverty", (same, True)),
+             ("Love", "other", False, "This story of love and loss", (defining, True)), ("love", "other", False, "his love, his king", ("other", False)), ("love", same, True, "this book is about love", (same, True))]
+    df = spark.createDataFrame([x[:4] for x in cases], "f string, r string, e boolean, t string")
+    assert [tuple(r[0]) for r in df.select(verdict.role_guarded(F.col("r"), F.col("e"), F.col("f"), F.col("t"))).collect()] == [x[4] for x in cases]
+
+
+def test_result_contract(spark):
+    schema = f"id int, checks {verdict.CHECKS}, spec array<string>, allowed array<string>, relation string, inference_kind string, reason string, all_established boolean, missing_component string, definition_excluded boolean, triggered boolean, exclusion_id string, exclusions array<string>"
+    ok = [("a", True, False, ["S1"]), ("b", True, False, ["S1"])]
+    good = (1, ok, ["a", "b"], ["S1"], "direct", "explicit_components", "said", True, None, False, False, None, ["X"])
+    rows = [
+        good, (2, [ok[1], ok[0]], *good[2:]), (3, [ok[0]], *good[2:]), (4, [ok[0], ("b", False, True, [])], ["a", "b"], ["S1"], "adjacent", "incomplete_connection", "r", False, "b", False, False, None, []),
+        (5, [ok[0], ("b", False, True, ["S9"])], ["a", "b"], ["S1"], "entailed", "none", "might hint", True, "a", False, True, "Y", ["X"]), (6, [], *good[2:])]
+    found = {}
+    for r in verdict.result_faults(spark.createDataFrame(rows, schema), ["id"], forbidden=("might",)).collect():
+        found.setdefault(r.id, set()).add(r.fault)
+    assert found == {
+        2: {"components out of order"}, 3: {"other components than the facet's"}, 6: {"no components"},
+        5: {"unknown spans", "missing with spans", "all_established isn't the ledger's", "positive with an incomplete ledger", "missing component is established", "positive with a missing component", "complete with a missing component",
+            "exclusion isn't the facet's", "exclusion without unsupported", "inference kind doesn't fit the relation", "entailed by speculation"}}
+
+
+def test_exclusions_settle(spark):
+    rows = [(1, True, "X", ["X"], "direct", "explicit_components", ["S1"]), (2, True, "Y", ["X"], "direct", "explicit_components", ["S1"]), (3, True, "Z", [], "direct", "explicit_components", ["S1"]), (4, False, None, ["X"], "adjacent", "incomplete_connection", [])]
+    df = spark.createDataFrame(rows, "id int, triggered boolean, exclusion_id string, exclusions array<string>, relation string, inference_kind string, span_ids array<string>")
+    found = {r.id: (r.triggered, r.exclusion_id, r.relation, r.inference_kind, r.span_ids) for r in verdict.with_exclusions_settled(df).collect()}
+    assert found == {1: (True, "X", "unsupported", "none", []), 2: (True, "Y", "direct", "explicit_components", ["S1"]), 3: (False, None, "direct", "explicit_components", ["S1"]), 4: (False, None, "adjacent", "incomplete_connection", [])}
+
+
+def test_candidates(spark):
+    rows = [(1, ["S1", " S2 "]), (2, ["NONE"]), (3, ["NONE", "S1"]), (4, ["S1", "S1"]), (5, ["S1", "S2", "S3", "S4"]), (6, ["S9"]), (7, None)]
+    df = spark.createDataFrame(rows, "id int, c array<string>")
+    known = F.array(*[F.lit(f"S{i}") for i in range(1, 5)])
+    assert sorted((r.id, r.fault) for r in verdict.faults(df, ["id"], verdict.candidate_rules(F.col("c"), known)).collect()) == [(3, "NONE beside span ids"), (4, "repeated candidates"), (5, "too many candidates"), (6, "unknown candidates")]
+    assert {r.id: r.c for r in df.select("id", verdict.candidates(F.col("c")).alias("c")).where("id IN (1, 2, 7)").collect()} == {1: ["S1", "S2"], 2: [], 7: []}
+    assert {r.fault for r in verdict.faults(df.where("id = 4"), ["id"], verdict.subject_rules(F.col("c"), F.array(F.lit("S2")))).collect()} == {"repeated subject spans", "unknown subject spans"}
+
+
+def test_the_whole_flow(spark):
+    """Models that know a few words; everything else is rules."""
+    cases = spark.createDataFrame([
+        (1, "Q", "The rebels resisted a totalitarian king. A mother mourns."), (2, "Q", "A cook learns to bake."), (3, "Q", "They revolt. The regime is authoritarian."), (4, "Q", ""),
+    ], "case_id long, query_id string, text string")
+    spec = spark.createDataFrame([
+        ("Q", "F1", 0, "resistance", "core", "active_opposition_or_defiance", 0), ("Q", "F1", 0, "resistance", "core", "target_oppressive_or_authoritarian_power", 1), ("Q", "F2", 1, "motherhood", "qualifier", "mother", 0),
+    ], "query_id string, facet_id string, facet_pos int, facet_text string, facet_type string, component_id string, spec_pos int")
+    words = {"active_opposition_or_defiance": ("resist", "revolt", "cook"), "target_oppressive_or_authoritarian_power": ("totalitarian", "authoritarian"), "mother": ("mother",)}
+
+    def select(rows):
+        return [{"span_ids": list(r["span_ids"])[:2] or ["NONE"]} for r in rows]
+
+    def verify(rows):
+        return [{"grounding": "explicit" if any(w in r["evidence"].lower() for w in words[r["component_id"]]) else "missing", "negative_boundary": False} for r in rows]
+
+    def role(rows):
+        return [{"subject_relation": "same_as_primary_subject", "examined": True} for _ in rows]
+
+    facets, scores = verdict.judge_cases(cases, spec, select, verify, role)
+    found = {(r.case_id, r.facet_id): (r.relation, r.support, r.from_composite) for r in facets.collect()}
+    assert found[1, "F1"] == ("direct", "strong", False) and found[1, "F2"][:2] == ("direct", "strong")
+    # the model's "cook" has no anchor; two spans together establish what neither does alone
+    assert found[2, "F1"][:2] == ("unsupported", "absent") and found[3, "F1"] == ("entailed", "meaningful", True) and found[4, "F1"][0] == "unsupported"
+    assert {r.case_id: r.score for r in scores.collect()} == {1: 4, 2: 0, 3: 2, 4: 0}
+    texts = {r.case_id: r for r in verdict.summaries(facets.select("case_id", "facet_id", "facet_pos", "facet_text", "facet_type", "support", "evidence"), scores).collect()}
+    assert texts[1].matched_core == "resistance" and texts[1].evidence_text == "F1: The rebels resisted a totalitarian king. | F2: A mother mourns."
+    assert texts[2].evidence_text is None and [x["facet_id"] for x in json.loads(texts[2].assessments_json)] == ["F1", "F2"]
+    with pytest.raises(PySparkException, match="bad candidates"):
+        verdict.judge_cases(cases, spec, lambda rows: [{"span_ids": ["S77"]} for _ in rows], verify, role)[0].collect()
