@@ -70,8 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again."""
-    docs = common.read(spark, sf_dir, "documents")
+    """All stages, each written to the shared folder and read again; a stage's table goes when the next one is written."""
+    docs, before = common.read(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs, _ = common.save(stage(spark, docs, sf_dir), name)
+        docs, path = common.save(stage(spark, docs, sf_dir), name)
+        common.drop(spark, *before)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
