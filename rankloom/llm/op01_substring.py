@@ -4,8 +4,8 @@
    and a window occurs at most as often as its anchor. Neighbouring windows mostly share one. Every partition adds
    its anchors to a count-min sketch. Only the touched cells travel, as gap coded lists by block of cells; a block's
    lists are merged by adding counts, which stop at two.
-2. The merged sketch is kept as one bit a cell, "two or more". Its size is a parameter, never a function of the
-   input, so it may be broadcast. It overestimates: the anchor of a window that occurs twice has all its bits set.
+2. The merged sketch is kept as one bit a cell, "two or more". It has about eight cells for each anchor that the counted
+   bytes of text let expect, up to a bound, so it may be broadcast. It overestimates: the anchor of a window that occurs twice has all its bits set.
 3. The second pass looks all windows up and sends only those estimated repeated, dealt by their anchor, to be grouped
    exactly by 104 bits. Windows that occur twice within one chunk are known to be repeated; one row of such a window
    travels, however often it occurs, so a hot passage never meets in one task.
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from rankloom.llm import common as C
 
 WINDOW = 35
-#: Rows of the sketch, and cells of each: 2 x 2**27 bits are 32 MB when broadcast.
-DEPTH, LOG_CELLS = 2, 27
+#: Rows of the sketch, and the least and most cells of each: 2 x 2**29 bits are 128 MB when broadcast.
+DEPTH, LOG_CELLS = 2, (16, 29)
+#: Bytes of text for each cell, and of text whose candidates meet in one group at most on average.
+_BYTES_A_CELL, _BYTES_A_GROUP = 7, 256 << 20
 #: Runs of words in a window, of which the least is the anchor (a power of two).
 _RUNS = 16
 _LOG_BLOCK = 18
@@ -147,7 +149,7 @@ def _merge(log_cells: int):
     return run
 
 
-def repeated_cells(texts: DataFrame, width: int = WINDOW, depth: int = DEPTH, log_cells: int = LOG_CELLS) -> np.ndarray:
+def repeated_cells(texts: DataFrame, width: int = WINDOW, depth: int = DEPTH, log_cells: int = LOG_CELLS[1]) -> np.ndarray:
     """The merged sketch as bits (``depth`` rows of ``2**log_cells``): set where the count is two or more.
 
     Blocks are merged side by side, each from a stream of lists. What reaches the driver has
@@ -368,18 +370,22 @@ def _remove(width: int, keep_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, depth: int = DEPTH, log_cells: int = LOG_CELLS, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, depth: int = DEPTH, log_cells: int | None = None, keep_text: bool = False) -> DataFrame:
     """Remove every word covered by a window of ``width`` words that also starts elsewhere, in any document.
 
     Windows are judged on the input. Equality of windows is that of 104 bits of two independent hashes of their words.
     Null and empty texts have no words; texts shorter than the window lose nothing; repeated rows are each other's
     copies; an empty table gives an empty result; other columns are ignored, whatever their names. A single text is
-    worked on whole, so a Python worker's memory grows with the longest text, else with the chunk size only.
+    worked on whole, so a Python worker's memory grows with the longest text, else with the chunk size only. ``log_cells``
+    sets the size of the sketch; without it the bytes of all texts do, within ``LOG_CELLS``.
 
     Returns doc_id, n_words, n_removed, kept_sha256 and, on request, kept_text.
     """
     spark = docs.sparkSession
-    buckets = 2 * C.partitions(spark)
+    total = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    buckets = max(2 * C.partitions(spark), total // _BYTES_A_GROUP)
+    if log_cells is None:
+        log_cells = min(max((total // _BYTES_A_CELL).bit_length(), LOG_CELLS[0]), LOG_CELLS[1])
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     keyed = rows.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text")})
