@@ -39,6 +39,24 @@ def _case(nodes: list[_Node], column: Column, value) -> Column:
     return out
 
 
+def _coordinates(docs: DataFrame, id_col: str, text_col: str, metadata: tuple[str, ...]) -> tuple[DataFrame, int]:
+    """doc_id, size, text_crc32, _tie and one column _d0, _d1, ... for each dimension, and how many there are."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    size = F.octet_length(text).cast("long") + 1
+    dims = [F.log(size.cast("double"))]
+    for name in metadata:
+        if name in docs.columns:
+            numeric = dict(docs.dtypes)[name] in ("int", "bigint", "smallint", "tinyint", "double", "float")
+            value = F.log1p(F.greatest(F.col(f"`{name}`").cast("double"), F.lit(0.0))) if numeric else F.pmod(F.xxhash64(F.col(f"`{name}`").cast("string")), F.lit(1 << 20)).cast("double") + 1
+            dims.append(F.coalesce(value, F.lit(0.0)))
+    crc = F.crc32(text.cast("binary")).cast("long")
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"),
+        # in [0, 1): the order of documents that a dimension ties
+        (F.pmod(F.xxhash64(F.col(id_col).cast("long"), crc, F.lit(11)), F.lit(1 << 40)).cast("double") / float(1 << 40)).alias("_tie"),
+        *[d.alias(f"_d{i}") for i, d in enumerate(dims)]), len(dims)
+
+
 def kd_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = ("n_chars", "source", "lang"), target_bytes: int | None = None) -> DataFrame:
     """Put every document into one of ``shards`` shards of near equal bytes, or into as many as keep them at ``target_bytes`` if that is given.
 
@@ -52,26 +70,13 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", tex
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null: sizes decide, not keys).
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    size = F.octet_length(text).cast("long") + 1
-    dims = [F.log(size.cast("double"))]
-    for name in metadata:
-        if name in docs.columns:
-            numeric = dict(docs.dtypes)[name] in ("int", "bigint", "smallint", "tinyint", "double", "float")
-            value = F.log1p(F.greatest(F.col(f"`{name}`").cast("double"), F.lit(0.0))) if numeric else F.pmod(F.xxhash64(F.col(f"`{name}`").cast("string")), F.lit(1 << 20)).cast("double") + 1
-            dims.append(F.coalesce(value, F.lit(0.0)))
-    crc = F.crc32(text.cast("binary")).cast("long")
-    light = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"),
-        # in [0, 1): the order of documents that a dimension ties
-        (F.pmod(F.xxhash64(F.col(id_col).cast("long"), crc, F.lit(11)), F.lit(1 << 40)).cast("double") / float(1 << 40)).alias("_tie"),
-        *[d.alias(f"_d{i}") for i, d in enumerate(dims)], F.lit(1).alias("_node"))
-    rows, first_at = C.save(light, "kd")
-    stats = rows.agg(F.sum("size").alias("bytes"), *[f(f"_d{i}").alias(f"{n}{i}") for i in range(len(dims)) for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
-    span = [max((stats[f"hi{i}"] or 0) - (stats[f"lo{i}"] or 0), 1e-12) for i in range(len(dims))]
+    light, n_dims = _coordinates(docs, id_col, text_col, metadata)
+    rows, first_at = C.save(light.withColumn("_node", F.lit(1)), "kd")
+    stats = rows.agg(F.sum("size").alias("bytes"), *[f(f"_d{i}").alias(f"{n}{i}") for i in range(n_dims) for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
+    span = [max((stats[f"hi{i}"] or 0) - (stats[f"lo{i}"] or 0), 1e-12) for i in range(n_dims)]
     # a rank in [0, 1) that orders by the dimension first: its whole part in 2**20 steps, then the tie
     steps = float(1 << 20)
-    ranks = [(F.floor((F.col(f"_d{i}") - F.lit(float(stats[f"lo{i}"] or 0))) / F.lit(span[i]) * (steps - 1)) + F.col("_tie")) / steps for i in range(len(dims))]
+    ranks = [(F.floor((F.col(f"_d{i}") - F.lit(float(stats[f"lo{i}"] or 0))) / F.lit(span[i]) * (steps - 1)) + F.col("_tie")) / steps for i in range(n_dims)]
 
     shard_of: dict[int, int] = {}
     if target_bytes is not None:
@@ -84,12 +89,12 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", tex
         if not split:
             break
         placed = rows.withColumn("_node", place)
-        wide = {r["_node"]: r for r in placed.groupBy("_node").agg(F.sum("size").alias("bytes"), *[(F.max(f"_d{i}") - F.min(f"_d{i}")).alias(f"w{i}") for i in range(len(dims))]).collect()}
+        wide = {r["_node"]: r for r in placed.groupBy("_node").agg(F.sum("size").alias("bytes"), *[(F.max(f"_d{i}") - F.min(f"_d{i}")).alias(f"w{i}") for i in range(n_dims)]).collect()}
         for x in split:
             found = wide.get(x.number)
             x.total = float(found["bytes"]) if found else 0.0
             # the widest, in parts of the whole table's extent; the size comes first among equals
-            x.dimension = max(range(len(dims)), key=lambda i: ((found[f"w{i}"] if found else 0) / span[i], -i))
+            x.dimension = max(range(n_dims), key=lambda i: ((found[f"w{i}"] if found else 0) / span[i], -i))
         ranked = placed.withColumn("_rank", _case(split, F.col("_node"), lambda x: ranks[x.dimension])).where("_rank IS NOT NULL").select("_node", "_rank", "size")
         for _ in range(_PASSES):
             low, step = _case(split, F.col("_node"), lambda x: F.lit(x.low)), _case(split, F.col("_node"), lambda x: F.lit((x.high - x.low) / _BINS))

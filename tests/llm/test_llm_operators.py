@@ -510,3 +510,121 @@ def test_grammar_leaves_no_frequent_pair():
     assert len(symbols) <= 3 * 64 and lengths.max() > 8 and np.array_equal(O8.expand(symbols, rules, 70_000), ids)
     shard = O8.Shard(O8.pack(list(range(64)), ids, counts, 0, 70_000))
     assert np.array_equal(shard.all(), ids) and np.array_equal(shard.document(5), ids[:1001])
+
+
+# ------------------------------------------------ against plain Python, and texts longer than a chunk
+
+
+def plain_features(text):
+    """The features as their names say, one text at a time."""
+    raw = text.encode()
+    kinds = [1 if 97 <= b < 123 else 2 if 65 <= b < 91 else 3 if 48 <= b < 58 else 4 if b > 127 else 5 if chr(b) in ".,;:!?'\"()-" else 6 if b == 124 else 8 if b in b" \t\n\x0b\x0c\r" else 7 if 32 < b < 127 else 0 for b in raw]
+    words = [w.encode() for w in WORD.findall(text)]
+    n, k = len(words), max(len(words), 1)
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / k
+    lines = text.split("\n")
+    signs = b"#$%&*+/<=>@[\\]^_`{}~|!"
+    out = [np.log1p(len(raw)), np.log1p(n), mean, max(sum(x * x for x in lengths) / k - mean * mean, 0) ** 0.5, sum(x > 20 for x in lengths) / k, sum(x <= 3 for x in lengths) / k]
+    out += [sum(x == kind for x in kinds) / max(len(raw), 1) for kind in range(1, 9)]
+    out += [sum(any(b in signs for b in w) for w in words) / k, sum(sum(65 <= b < 91 for b in w) > 1 and not any(97 <= b < 123 for b in w) for w in words) / k]
+    out += [len(set(words)) / k, sum(a == b for a, b in zip(words, words[1:])) / k, max(Counter(words).values(), default=0) / k]
+    pairs = [*zip(words, words[1:]), (words[-1],)] if words else []
+    kept = lines[:-1] if lines[-1] == "" else lines
+    ends = [x + "\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+    return out + [len(set(pairs)) / k, np.log1p(len(lines)), (len(set(ends)) if ends else (0 if raw else 0)) / len(lines) if kept or raw else 0.0, np.log1p(n / len(lines)), np.log1p(n / (sum(b in b".!?" for b in raw) + 1)), float(n == 0)]
+
+
+def test_quality_scores_in_plain_python(spark, sf_dir):
+    """Features one text at a time, the link and the threshold by hand, and no better weights nearby."""
+    docs, labels = C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels")
+    model = O2.learn(docs, labels)
+    rows = docs.collect()
+    x = np.array([plain_features(r.text) for r in rows])
+    found = {r.doc_id: r for r in O2.quality_scores(docs, labels).collect()}
+    for r, own in zip(rows, x, strict=True):
+        z = [min(max((v - m) / s, -8), 8) for v, m, s in zip(own, model["mean"], model["scale"], strict=True)]
+        strength = sum(a * w for a, w in zip([*z, *(v * v / 4 for v in z)], model["w"], strict=True))
+        score = 1 / (1 + np.exp(-(min(max(strength - model["cut"], -30), 30) + np.log(0.7 / 0.3))))
+        assert found[r.doc_id].score == pytest.approx(score, abs=1e-6)
+        assert found[r.doc_id].predicted == (found[r.doc_id].score >= 0.7)
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    learned = [(r.doc_id, own) for r, own in zip(rows, x, strict=True) if r.doc_id in quality and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    z = np.clip((np.array([own for _, own in learned]) - model["mean"]) / model["scale"], -8, 8)
+    z = np.concatenate([z, z**2 / 4], axis=1)
+    label = np.array([quality[i] for i, _ in learned])
+
+    def loss(w):
+        s = z @ w
+        return np.log1p(np.exp(-(s[label == 1][:, None] - s[label == 0][None, :]))).mean() + 5e-5 * w @ w
+
+    rng = np.random.default_rng(0)
+    at = loss(model["w"])
+    assert at < loss(0 * model["w"]) and all(loss(model["w"] + rng.normal(size=len(model["w"])) * 0.5) > at - 0.02 for _ in range(20))
+
+
+def plain_tree(rows, n_dims, shards):
+    """Recursive cuts at the weighted median along the widest dimension."""
+    low = [min(r[f"_d{i}"] for r in rows) for i in range(n_dims)]
+    span = [max(max(r[f"_d{i}"] for r in rows) - low[i], 1e-12) for i in range(n_dims)]
+    place = lambda r, i: (np.floor((r[f"_d{i}"] - low[i]) / span[i] * (2**20 - 1)) + r["_tie"]) / 2**20
+    out = {}
+
+    def split(own, leaves, first):
+        if leaves == 1 or not own:
+            out.update({r["doc_id"]: first for r in own})
+            return
+        wide = [(max(r[f"_d{i}"] for r in own) - min(r[f"_d{i}"] for r in own)) / span[i] for i in range(n_dims)]
+        i = max(range(n_dims), key=lambda k: (wide[k], -k))
+        own = sorted(own, key=lambda r: place(r, i))
+        goal, below, cut = sum(r["size"] for r in own) * (leaves // 2) / leaves, 0, 0
+        while cut < len(own) and below + own[cut]["size"] <= goal:
+            below += own[cut]["size"]
+            cut += 1
+        split(own[:cut], leaves // 2, first)
+        split(own[cut:], leaves - leaves // 2, first + leaves // 2)
+
+    split(rows, shards, 0)
+    return out
+
+
+@pytest.mark.parametrize("n", [8, 5])
+def test_shards_equal_a_plain_tree(spark, sf_dir, n):
+    docs = C.read(spark, sf_dir, "documents")
+    light, dims = O4._coordinates(docs, "doc_id", "text", ("n_chars", "source", "lang"))
+    wanted = plain_tree([r.asDict() for r in light.collect()], dims, n)
+    assert {r.doc_id: r.shard for r in O4.kd_shards(docs, n).collect()} == wanted
+
+
+def test_shards_of_target_bytes(spark, sf_dir):
+    docs = C.read(spark, sf_dir, "documents")
+    total = sum(len(r.text.encode()) + 1 for r in docs.collect())
+    rows = O4.kd_shards(docs, target_bytes=total // 5).collect()
+    assert {r.shard for r in rows} == set(range(6)) and O4.kd_shards(docs.where("false"), target_bytes=10).count() == 0
+
+
+def long_rows():
+    """Texts over the bytes that one pass takes: a long one, its near copy and a passage of it on its own."""
+    rng = np.random.default_rng(4)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 700_000)]
+    assert len(" ".join(words)) > C.CHUNK_BYTES
+    return [(1, " ".join(words), "x"), (2, " ".join([*words[:1000], "CHANGED", *words[1001:]]), "x"), (3, " ".join(words[5000:5060]), "y"), (4, "short text", "y")]
+
+
+def test_long_texts(spark):
+    rows = long_rows()
+    df = odd(spark, rows)
+    texts = {i: t for i, t, _ in rows}
+    found = {r.doc_id: r for r in O1.remove_repeats(df).collect()}
+    assert [found[i].n_removed for i in (1, 2, 3, 4)] == [699_999, 699_999, 60, 0]
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in O3.near_groups(df).collect()}
+    assert near[2][1] == 1 and near[3][1] == 3 and near[1][0] == len(shingles(texts[1], 2))
+    assert {r.doc_id: r.group_size for r in O6.exact_groups(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+    item = spark.createDataFrame([(7, texts[3])], "item_id long, text string")
+    assert sorted(r.doc_id for r in O10.contaminated(df, item).collect()) == [1, 2, 3]
+    ids = {r.doc_id: r.n_tokens for r in O8.encode_documents(df, WORDS).collect()}
+    assert ids[3] == len(_coder.library.encode(texts[3], add_special_tokens=False).ids) + 1 and ids[1] > ids[3]
+    small = df.where("doc_id > 1")
+    assert all(r.lossless and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in O5.sample_pieces(small, PIECES).collect())
+    one = O2.features(*C.utf8(pa.array([texts[1]])))[0]
+    assert one[O2.FEATURES.index("log_words")] == pytest.approx(np.log1p(700_000)) and one[O2.FEATURES.index("distinct_words")] == pytest.approx(len(set(texts[1].split())) / 700_000)
