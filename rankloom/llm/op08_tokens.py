@@ -29,8 +29,10 @@ from rankloom.llm import common as C
 
 END_ID = 1
 MAGIC = b"RLTK0002"
-#: Ids of a shard; the most pairs replaced in a round.
-SHARD_IDS, PAIRS = 3_000_000, 4000
+#: Ids of a shard; how often a pair must occur to be replaced.
+SHARD_IDS, LEAST = 3_000_000, 8
+#: Bits of the table that counts pairs, and turns in which overlapping pairs are settled in a round.
+_SLOT_BITS, _CHOICES = 21, 3
 #: Distinct pieces of text whose ids a worker remembers.
 CACHE_WORDS = 1_500_000
 
@@ -166,43 +168,76 @@ def encoder(path: str) -> PieceEncoder:
 # ---------------------------------------------------------------- grammar
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first_free: int, end_id: int = END_ID, rounds: int | None = None, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _first_choice(spots: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the overlapping pairs at ascending spots to replace: the heavier of neighbours, every other one of equals."""
+    beside = np.append(np.diff(spots) == 1, False)
+    # no two neighbours are equal, as one stands on an even place
+    rank = 2 * weight + (spots & 1).astype(np.int32)
+    chosen, open_ = np.zeros(len(spots), bool), np.ones(len(spots), bool)
+    for _ in range(_CHOICES):
+        now = np.where(open_, rank, -1)
+        win = open_.copy()
+        win[1:] &= ~beside[:-1] | (now[1:] > now[:-1])
+        win[:-1] &= ~beside[:-1] | (now[:-1] > now[1:])
+        chosen |= win
+        open_ &= ~win
+        open_[1:] &= ~(beside[:-1] & win[:-1])
+        open_[:-1] &= ~(beside[:-1] & win[1:])
+    return chosen
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, first_free: int, end_id: int = END_ID, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair in batches: symbols, rules, expansion lengths, and the places of ``ends`` among the symbols.
 
-    A round replaces its most frequent pairs left to right, without overlap. Rounds go on (at most ``rounds`` if given)
-    until no pair occurs eight times. ``end_id`` is in no pair, so no rule crosses documents.
+    A round replaces all pairs that occur ``LEAST`` times; of pairs that overlap the more frequent one. Rounds go on (at
+    most ``rounds`` if given) until no pair is that frequent: the most frequent pair is always replaced, in a run of one
+    id at least half as often, so every round with such a pair makes progress. A pair stays out of later rounds once it is
+    rarer, as only pairs with a new symbol can become frequent. ``end_id`` is in no pair, so no rule crosses documents.
     """
     symbols, rules, lengths = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], np.ones(first_free, np.uint32)
-    for _ in itertools.count() if rounds is None else range(rounds):
-        if len(symbols) < 2:
+    live = (symbols[:-1] != end_id) & (symbols[1:] != end_id)
+    for number in itertools.count() if rounds is None else range(rounds):
+        spots = np.flatnonzero(live)
+        if not len(spots):
             break
-        a, b = symbols[:-1], symbols[1:]
-        slot = (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(10)
-        free = (a != end_id) & (b != end_id)
-        counts = np.bincount(slot[free], minlength=1 << 22).astype(np.int32)
-        least = max(8, int(np.partition(counts, -pairs)[-pairs]))
-        spots = np.flatnonzero(free & (counts[slot] >= least))
-        keys = a[spots].astype(np.uint64) << np.uint64(32) | b[spots]
-        found, number = np.unique(keys, return_counts=True)
-        best = np.argsort(-number, kind="stable")[:pairs]
-        chosen = np.sort(found[best[number[best] >= 8]])
-        if not len(chosen):
-            break
-        rank = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
-        hit = chosen[rank] == keys
-        spots, rank = spots[hit], rank[hit]
-        run = np.flatnonzero(np.diff(spots, prepend=-2) != 1)
-        offset = np.arange(len(spots)) - np.repeat(run, np.diff(run, append=len(spots)))
-        spots, rank = spots[offset % 2 == 0], rank[offset % 2 == 0]
-        rule = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        a, b = symbols[spots], symbols[spots + 1]
+        bits = min(max((2 * len(spots)).bit_length(), 10), _SLOT_BITS)
+        # other multipliers in each round: pairs that share a slot now are told apart later
+        turn = 2 * number
+        slot = (a * np.uint32(0x9E3779B1 + turn & 0xFFFFFFFF) ^ b * np.uint32(0x85EBCA77 + 2 * turn & 0xFFFFFFFF)) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - bits)
+        # one pair stands for each slot; others wait for the next round
+        left, right = np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, np.uint32)
+        left[slot], right[slot] = a, b
+        own = (left[slot] == a) & (right[slot] == b)
+        counts = np.bincount(slot[own], minlength=1 << bits).astype(np.int32)
+        weight = counts[slot]
+        often = own & (weight >= LEAST)
+        live[spots[own & ~often]] = False
+        at, where = spots[often], slot[often]
+        taken = np.flatnonzero(_first_choice(at, weight[often]))
+        # a rule that overlaps leave too few places waits as well
+        used = np.bincount(where[taken], minlength=1 << bits) >= LEAST // 2
+        made = np.flatnonzero(used)
+        if not len(made):
+            if own.all():
+                break
+            continue
+        taken = taken[used[where[taken]]]
+        at, which = at[taken], np.cumsum(used)[where[taken]] - 1
+        rule = np.stack([left[made], right[made]], axis=1)
         start = len(lengths)
         lengths = np.concatenate([lengths, lengths[rule[:, 0]] + lengths[rule[:, 1]]])
         rules.append(rule)
         stay = np.ones(len(symbols), bool)
-        stay[spots + 1] = False
-        symbols[spots] = (start + rank).astype(np.uint32)
+        stay[at + 1] = False
+        symbols[at] = (start + which).astype(np.uint32)
+        # the pairs with a new symbol, on either side of it
+        new = np.zeros(len(symbols), bool)
+        new[at] = True
         ends = (np.cumsum(stay) - 1)[ends]
-        symbols = symbols[stay]
+        symbols, new, live = symbols[stay], new[stay], np.append(live, False)[stay][:-1]
+        live |= new[:-1] | new[1:]
+        live &= (symbols[:-1] != end_id) & (symbols[1:] != end_id)
     return symbols, np.concatenate(rules), lengths[first_free:], ends
 
 
