@@ -77,12 +77,16 @@ class PieceEncoder:
         self.h1, self.h2 = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.first, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _library_ids(self, texts: list[str]) -> list[list[int]]:
+        """The library's ids of texts; places in the text, which nobody asks for, aren't kept track of."""
+        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
         if self.by_piece:
             return self._by_piece(buf, offs)
         raw = buf.tobytes()
-        own = [x.ids for x in self.library.encode_batch([raw[a:b].decode() for a, b in zip(offs[:-1], offs[1:], strict=True)], add_special_tokens=False)]
+        own = self._library_ids([raw[a:b].decode() for a, b in zip(offs[:-1], offs[1:], strict=True)])
         return np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own], np.int64)
 
     _LETTER = np.zeros(256, bool)
@@ -135,16 +139,15 @@ class PieceEncoder:
                 self.forget()
                 new = np.arange(len(h1))
             raw = buf.tobytes()
-            own = [x.ids for x in self.library.encode_batch([raw[a:b].decode() for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)], add_special_tokens=False)]
-            length = np.array([len(x) for x in own], np.int64)
-            flat = np.fromiter((i for x in own for i in x), np.uint32, int(length.sum()))
+            own = self._library_ids([raw[a:b].decode() for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)])
+            length = np.fromiter(map(len, own), np.int64, len(own))
             first = len(self.ids) + np.cumsum(length) - length
-            self.ids = np.concatenate([self.ids, flat])
-            keys = np.concatenate([self.h1, h1[new]])
-            order = np.argsort(keys, kind="stable")
-            self.h1 = keys[order]
-            self.h2 = np.concatenate([self.h2, h2[new]])[order]
-            self.first, self.length = np.concatenate([self.first, first])[order], np.concatenate([self.length, length])[order]
+            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(own), np.uint32, int(length.sum()))])
+            # the memory stays in the order of the first hash: what is new is laid between
+            order = np.argsort(h1[new], kind="stable")
+            spot = np.searchsorted(self.h1, h1[new][order])
+            self.h1, self.h2, self.first, self.length = (
+                np.insert(old, spot, add[order]) for old, add in ((self.h1, h1[new]), (self.h2, h2[new]), (self.first, first), (self.length, length)))
             at = self._find(h1, h2)
             if np.any(at < 0):  # pieces that share their first hash: search along the equal run
                 for i in np.flatnonzero(at < 0):
@@ -168,11 +171,11 @@ def encoder(path: str) -> PieceEncoder:
 # ---------------------------------------------------------------- grammar
 
 
-def _first_choice(spots: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Which of the overlapping pairs at ascending spots to replace: the heavier of neighbours, every other one of equals."""
+def _first_choice(spots: np.ndarray, weight: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Which of the overlapping pairs at ascending spots to replace: the heavier of neighbours, of equals by the pair itself, so that copies of a passage are cut alike."""
     beside = np.append(np.diff(spots) == 1, False)
-    # no two neighbours are equal, as one stands on an even place
-    rank = 2 * weight + (spots & 1).astype(np.int32)
+    # no two neighbours are equal: in a run of one id one of them stands on an even place
+    rank = ((weight.astype(np.int64) << _SLOT_BITS) + slot << 1) + (spots & 1)
     chosen, open_ = np.zeros(len(spots), bool), np.ones(len(spots), bool)
     for _ in range(_CHOICES):
         now = np.where(open_, rank, -1)
@@ -214,7 +217,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_free: int, end_id: int = E
         often = own & (weight >= LEAST)
         live[spots[own & ~often]] = False
         at, where = spots[often], slot[often]
-        taken = np.flatnonzero(_first_choice(at, weight[often]))
+        taken = np.flatnonzero(_first_choice(at, weight[often], where))
         # a rule that overlaps leave too few places waits as well
         used = np.bincount(where[taken], minlength=1 << bits) >= LEAST // 2
         made = np.flatnonzero(used)
