@@ -113,7 +113,10 @@ class PieceEncoder:
         if not len(s):
             return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
         h1, h2 = C.word_hashes(buf, s, e)
-        _, example, inverse = np.unique(h1, return_index=True, return_inverse=True)
+        order = np.argsort(h1)
+        fresh = np.append(True, np.diff(h1[order]) != 0)
+        example, inverse = order[fresh], np.empty(len(h1), np.int64)
+        inverse[order] = np.cumsum(fresh) - 1
         if np.any(h2[example][inverse] != h2):  # two pieces with one hash: tell them apart by both
             _, example, inverse = np.unique(np.stack([h1, h2], axis=1), axis=0, return_index=True, return_inverse=True)
             inverse = inverse.ravel()
@@ -209,13 +212,14 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_free: int, end_id: int = E
         turn = 2 * number
         slot = (a * np.uint32(0x9E3779B1 + turn & 0xFFFFFFFF) ^ b * np.uint32(0x85EBCA77 + 2 * turn & 0xFFFFFFFF)) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - bits)
         # one pair stands for each slot; others wait for the next round
-        left, right = np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, np.uint32)
-        left[slot], right[slot] = a, b
-        own = (left[slot] == a) & (right[slot] == b)
-        counts = np.bincount(slot[own], minlength=1 << bits).astype(np.int32)
+        pair = a.astype(np.uint64) << np.uint64(32) | b
+        holds = np.zeros(1 << bits, np.uint64)
+        holds[slot] = pair
+        own = holds[slot] == pair
+        counts = (np.bincount(slot, minlength=1 << bits) - np.bincount(slot[~own], minlength=1 << bits)).astype(np.int32)
         weight = counts[slot]
         often = own & (weight >= LEAST)
-        live[spots[own & ~often]] = False
+        live[spots] = often | ~own
         at, where = spots[often], slot[often]
         taken = np.flatnonzero(_first_choice(at, weight[often], where))
         # a rule that overlaps leave too few places waits as well
@@ -227,7 +231,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_free: int, end_id: int = E
             continue
         taken = taken[used[where[taken]]]
         at, which = at[taken], np.cumsum(used)[where[taken]] - 1
-        rule = np.stack([left[made], right[made]], axis=1)
+        rule = np.stack([holds[made] >> np.uint64(32), holds[made] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         start = len(lengths)
         lengths = np.concatenate([lengths, lengths[rule[:, 0]] + lengths[rule[:, 1]]])
         rules.append(rule)
