@@ -241,10 +241,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_free: int, end_id: int = E
         # the pairs with a new symbol, on either side of it
         new = np.zeros(len(symbols), bool)
         new[at] = True
-        ends = (np.cumsum(stay) - 1)[ends]
+        ends = ends - np.searchsorted(at + 1, ends, side="right")
         symbols, new, live = symbols[stay], new[stay], np.append(live, False)[stay][:-1]
         live |= new[:-1] | new[1:]
-        live &= (symbols[:-1] != end_id) & (symbols[1:] != end_id)
+        # a symbol before an end, and the end itself, begin no pair
+        live[ends[ends < len(live)]] = False
+        live[ends[ends > 0] - 1] = False
     return symbols, np.concatenate(rules), lengths[first_free:], ends
 
 
