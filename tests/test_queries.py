@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -49,9 +50,50 @@ def test_query_matches_sql(spark, sf_dir, name):
     same(catalogue.queries()[name](spark, sf_dir), duck(sf_dir), catalogue.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
-def test_query_without_sql_runs(spark, sf_dir, name):
-    assert catalogue.queries()[name](spark, sf_dir).count() > 0
+def plain_spans(text):
+    parts = [x.strip() for x in re.split(r"(?<=[.!?])\s+", (text or "").strip())]
+    return [(f"S{i}", x) for i, x in enumerate([x for x in parts if x], 1)]
+
+
+def test_spans_in_plain_python(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    found = sorted((r.doc_id, r.place, r.span_id, r.text) for r in catalogue.queries()["spans"](spark, sf_dir).collect())
+    assert found == sorted((d.doc_id, i, n, x) for d in docs for i, (n, x) in enumerate(plain_spans(d.text)))
+
+
+def test_cues_in_plain_python(spark, sf_dir):
+    """The first span in which each word of a rule stands somewhere without a negation beside it."""
+    wanted = []
+    for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        words = {"en": ("the-and", ["the", "and"]), "de": ("und", ["und"])}.get(d.lang)
+        row = (None, None, 0)
+        if words:
+            blocked = 0
+            for name, text in plain_spans(d.text):
+                ok = True
+                for word in words[1]:
+                    ok = False
+                    for m in re.finditer(rf"\b{word}\b", text, re.IGNORECASE):
+                        head, tail = text[max(0, m.start() - 96) : m.start()], text[m.end() : m.end() + 64]
+                        negated = re.search(r"\b(?:not|no|never|nicht|kein)\b\W*$", head, re.IGNORECASE) or re.search(r"^\W*\b(?:not|nicht)\b", tail, re.IGNORECASE)
+                        if not negated:
+                            ok = True
+                            break
+                        blocked += 1
+                    if not ok:
+                        break
+                if ok:
+                    row = (words[0], name, blocked)
+                    break
+            else:
+                row = (None, None, blocked)
+        wanted.append((d.doc_id, d.lang, *row))
+    found = [(r.case_id, r.facet_id, r.cue_id, r.span_id, r.blocked) for r in catalogue.queries()["direct_cue"](spark, sf_dir).collect()]
+    assert sorted(found, key=str) == sorted(wanted, key=str) and any(w[2] for w in wanted)
+
+
+def test_every_query_is_compared():
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"spans", "direct_cue"}
 
 
 def test_entry(spark):
