@@ -563,6 +563,43 @@ def test_quality_scores_in_plain_python(spark, sf_dir):
     assert at < loss(0 * model["w"]) and all(loss(model["w"] + rng.normal(size=len(model["w"])) * 0.5) > at - 0.02 for _ in range(20))
 
 
+def test_quality_learns_from_all_rows_and_pairs(spark):
+    """More rows of each label than a bounded sample would take, and the loss of every pair of them."""
+    rng = np.random.default_rng(6)
+    ids = [i for i in range(24_000) if zlib.crc32(str(i).encode()) % 4 != 2][:17_101]
+    label = (np.arange(len(ids)) < 9_000).astype(int)
+    texts = [" ".join(("w" * k) + ("|" if m < 2 - v else ".") for k, m in zip(rng.integers(1, 9, 4 + 2 * v), rng.integers(0, 6, 8))) for v in label]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in zip(ids, label, strict=True)], "doc_id long, quality int")
+    model = O2.learn(docs, labels)
+    x = O2.features(*C.utf8(pa.array(texts, pa.string())))
+    assert model["mean"] == pytest.approx(x.mean(axis=0)) and model["scale"][x.std(axis=0) > 1e-9] == pytest.approx(x.std(axis=0)[x.std(axis=0) > 1e-9])
+    z = np.clip((x - model["mean"]) / model["scale"], -8, 8)
+    z = np.concatenate([z, z**2 / 4], axis=1)
+    s = z @ model["w"]
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    slope, lost = np.zeros(len(s)), 0.0
+    for part in np.array_split(good, 20):
+        gap = s[part][:, None] - s[bad][None]
+        p = 1 / (1 + np.exp(gap))
+        slope[part] -= p.sum(axis=1)
+        slope[bad] += p.sum(axis=0)
+        lost += np.logaddexp(0, -gap).sum()
+    assert np.abs(slope @ z / (len(good) * len(bad)) + 1e-4 * model["w"]).max() < 1e-8 and lost / (len(good) * len(bad)) < 0.6
+    order = np.argsort(s)
+    agreed = np.append(0, np.cumsum(np.where(label[order] == 0, 1, -1))) + label.sum()
+    assert ((s >= model["cut"]) == label).sum() == agreed.max()
+
+
+def test_quality_in_tasks_as_in_the_driver(spark, sf_dir):
+    docs, labels = C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels")
+    again = docs.union(docs).union(docs.limit(5).selectExpr("doc_id", "text || ' | |' text", "lang", "source", "n_chars"))
+    for own in (labels, labels.where("quality = 0"), labels.where("false"), labels.union(labels.selectExpr("doc_id", "1 - quality", "toxic").limit(9))):
+        a, b = O2.learn(again, own), O2.learn(again.repartition(5), own, local_rows=0)
+        assert a["always"] == b["always"] and a["w"] == pytest.approx(b["w"], abs=1e-6) and a["cut"] == pytest.approx(b["cut"], abs=1e-6)
+    assert as_map(O2.quality_scores(docs, labels, local_rows=0), "doc_id", "held_out", "predicted") == as_map(O2.quality_scores(docs, labels), "doc_id", "held_out", "predicted")
+
+
 def plain_tree(rows, n_dims, shards):
     """Recursive cuts at the weighted median along the widest dimension."""
     low = [min(r[f"_d{i}"] for r in rows) for i in range(n_dims)]
